@@ -1,4 +1,16 @@
 """The p-queries on text and matching, with their SQL where SQL can say them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    return map_to_list(fee_values(read("missed_fees"), read("fee_lines")), read("fee_vocab"), aliases=FEE_ALIASES)
+
+
+QUERIES: dict = {"p6_found": p6_found}
 ORACLE: dict = {}
