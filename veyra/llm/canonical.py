@@ -62,6 +62,10 @@ FEE_ALIASES = {
 }
 
 
+# Words around a name that don't alter it, such as whose price it is.
+BESIDES = {"цена", "цени", "ценоразпис", "такса", "такси", "за", "дете", "деца", "клас", "кл", "група", "гр", "а", "б", "в", "г", "год", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "price", "fee", "fees", "per", "for", "child", "class", "grade", "group"}
+
+
 class Lexicon:
     """Names of one field: an automaton for exact mentions and token sets for the rest."""
 
@@ -77,8 +81,7 @@ class Lexicon:
             self.auto.add_word(f" {' '.join(form)} ", form)
         if self.forms:
             self.auto.make_automaton()
-        # token sets by skeleton, so that a Latin spelling needs no entry of its own
-        self.sets = sorted({(tuple(skeleton(x) for x in form), code) for form, code in self.forms.items()}, key=lambda x: (-sum(map(len, x[0])), x[1]))
+        self.sets = sorted(self.forms.items(), key=lambda x: (-sum(map(len, x[0])), x[1], x[0]))
 
     def mentions(self, toks: list[str]) -> list[tuple[str, int]]:
         """(code, letters) of the longest mentions that don't overlap; of equal ones the earlier."""
@@ -94,26 +97,28 @@ class Lexicon:
                 out.append((self.forms[form], sum(map(len, form))))
         return out
 
-    def similar(self, toks: list[str]) -> tuple[str, float] | None:
-        """The name whose every token the value holds, give or take edits; most letters win, then fewest edits."""
-        have = [skeleton(t) for t in toks]
+    def similar(self, toks: list[str], least: float = 0.7) -> tuple[str, float] | None:
+        """(code, similarity) of the name whose every token the value holds, give or take edits.
+
+        Tokens are compared as typed and by skeleton, whichever is nearer. Similarity is the share of the
+        name's letters in those of both; words that only go beside a name don't count. Most letters win, then fewest edits.
+        """
         best = None
         for form, code in self.sets:
-            left, wrong = list(have), 0
+            left, wrong = list(toks), 0
             for w in form:
-                hits = [(edits(w, v, allowed(len(w))), v) for v in left]
-                hits = [h for h in hits if h[0] <= allowed(len(w))]
-                if not hits:
+                most = allowed(len(w))
+                d, v = min(((min(edits(w, v, most), edits(skeleton(w), skeleton(v), most)), v) for v in left), default=(most + 1, ""))
+                if d > most:
                     break
-                d, v = min(hits)
                 wrong += d
                 left.remove(v)
             else:
                 n = sum(map(len, form))
-                score = (n - 2 * wrong, -wrong)
-                if best is None or score > best[0]:
-                    best = (score, code, n / max(1, n + sum(map(len, left))))
-        return (best[1], best[2]) if best else None
+                share = n / max(1, n + sum(len(v) for v in left if v not in BESIDES and not v.isdigit()))
+                if share >= least and (best is None or (n - 2 * wrong, -wrong) > best[0]):
+                    best = ((n - 2 * wrong, -wrong), code, share)
+        return best[1:] if best else None
 
     def match(self, value: str) -> tuple[str, float]:
         """(code or ``unmatched``, similarity)."""
