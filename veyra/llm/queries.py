@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+from veyra.llm.repeats import repeated_lines, without_lines
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -12,5 +13,34 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(fee_values(read("missed_fees"), read("fee_lines")), read("fee_vocab"), aliases=FEE_ALIASES)
 
 
-QUERIES: dict = {"p6_found": p6_found}
-ORACLE: dict = {}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return without_lines(pages, repeated_lines(pages))
+
+
+QUERIES: dict = {"p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
+
+_P7_LINES = r"""
+WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),
+u AS (SELECT *, regexp_extract(lower(url), '^\s*(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@\s]*@)?([^/:?#\s]+)(?::\d*)?([^?#\s]*)', ['h', 't']) AS m FROM p),
+l AS (SELECT page_id, regexp_replace(m.h, '^www\.|\.$', '') AS site, regexp_replace(m.t, '/+$', '') AS page,
+      unnest(string_split(raw_markdown, chr(10))) AS line, generate_subscripts(string_split(raw_markdown, chr(10)), 1) AS line_no FROM u),
+k AS (SELECT page_id, site, page, CAST(line_no AS INTEGER) AS line_no, lower(regexp_replace(line, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM l),
+rep AS (SELECT site, key FROM k WHERE key <> '' AND site <> '' GROUP BY site, key HAVING count(DISTINCT page) >= 8),
+hit AS (SELECT DISTINCT page_id, line_no FROM k JOIN rep USING (site, key))
+"""
+P7_SQL = _P7_LINES + "SELECT page_id, line_no FROM hit"
+P7_CLEAN_SQL = (
+    _P7_LINES
+    + """, numbered AS (SELECT p.page_id, p.raw_markdown, l.line, l.line_no FROM p JOIN l USING (page_id)),
+kept AS (SELECT n.page_id, string_agg(n.line, chr(10) ORDER BY n.line_no) AS kept_text FROM numbered n LEFT JOIN hit h ON n.page_id = h.page_id AND n.line_no = h.line_no
+         WHERE h.page_id IS NULL GROUP BY n.page_id)
+SELECT a.page_id, CASE WHEN a.raw_markdown IS NULL THEN NULL ELSE coalesce(k.kept_text, '') END AS kept_text
+FROM (SELECT DISTINCT page_id, raw_markdown FROM pages) a LEFT JOIN kept k USING (page_id)"""
+)
+
+ORACLE: dict = {"p7_found": P7_SQL, "p7_clean": P7_CLEAN_SQL}
