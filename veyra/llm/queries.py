@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+from veyra.llm.mainbody import main_body
 from veyra.llm.repeats import repeated_lines, without_lines
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(spark.read.parquet(f"{d}/pages.parquet"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     return map_to_list(fee_values(read("missed_fees"), read("fee_lines")), read("fee_vocab"), aliases=FEE_ALIASES)
@@ -22,7 +27,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages))
 
 
-QUERIES: dict = {"p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES: dict = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
 
 _P7_LINES = r"""
 WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),
