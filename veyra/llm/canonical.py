@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veyra.llm.text import allowed, edits, latin, skeleton, tokens
+from veyra.session import parallelism
 
 # Further names in common use for entries of a list of school fees, by the entry's own English name.
 FEE_ALIASES = {
@@ -145,7 +146,7 @@ def map_to_list(values: DataFrame, entries: DataFrame, code: str = "entry_code",
     ref = entries.filter(F.col(code).isNotNull() & F.col(field).isNotNull()).select(code, field, *names, *lists)
     parts = max(1, math.ceil(ref.count() / most_entries))
     vals = values.filter(F.col("value").isNotNull() & F.col("row_id").isNotNull() & F.col("value").rlike(r"[^\s ]"))
-    different = vals.select("field", "value").distinct()
+    different = vals.select("field", "value").distinct().repartition(parallelism(values.sparkSession))
     picked = None
     for k in range(parts):
         part = ref if parts == 1 else ref.filter(F.pmod(F.xxhash64(code), F.lit(parts)) == k)

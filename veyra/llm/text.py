@@ -33,17 +33,21 @@ def latin(token: str) -> str:
     return "".join(CYR_TO_LAT.get(c, c) for c in token)
 
 
+# Latin spellings of Cyrillic letters, longest first, and letters that spellings confuse.
+LAT_TO_CYR = (("sht", "щ"), ("tsh", "ч"), ("zh", "ж"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("tz", "ц"), ("kh", "х"), ("yu", "ю"), ("ju", "ю"), ("iu", "ю"), ("ya", "я"), ("ja", "я"), ("ia", "я"), ("yo", "йо"), ("x", "кс"))
+LAT_LETTERS = str.maketrans("abcdefghijklmnopqrstuvwyz", "абцдефгхижклмнопярстувви" + "з")
+FOLDED = str.maketrans({"ъ": "а", "й": "и", "ь": "и", "ё": "е", "ѝ": "и", "ы": "и", "э": "е"})
+
+
 @lru_cache(maxsize=200_000)
 def skeleton(token: str) -> str:
-    """A form in which different Latin spellings of one Bulgarian word mostly agree."""
-    t = latin(token)
-    for a, b in (("ya", "ia"), ("yu", "iu"), ("ja", "ia"), ("ju", "iu"), ("tz", "ts"), ("w", "v"), ("x", "ks"), ("q", "ia"), ("y", "i"), ("j", "zh"), ("c", "ts"), ("tsh", "ch")):
-        t = t.replace(a, b)
-    out = []
-    for c in t:
-        if not out or out[-1] != c or c.isdigit():
-            out.append(c)
-    return "".join(out)
+    """One letter for one sound, Cyrillic, so that Latin and Cyrillic spellings of a word mostly agree."""
+    t = token
+    if LAT.search(t):
+        for a, b in LAT_TO_CYR:
+            t = t.replace(a, b)
+        t = t.translate(LAT_LETTERS)
+    return t.translate(FOLDED)
 
 
 def edits(a: str, b: str, most: int) -> int:
