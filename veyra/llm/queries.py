@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veyra.llm.addresses import same_place
 from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+from veyra.llm.entities import institution_records, same_institution
 from veyra.llm.mainbody import main_body
 from veyra.llm.repeats import repeated_lines, without_lines
 
@@ -14,6 +15,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return main_body(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    return same_institution(institution_records(read("dz_responses"), read("identity_labels"), read("municipal_points")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("a_key", "b_key")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     dz = spark.read.parquet(f"{d}/dz_responses.parquet").selectExpr("dz_id as id", "address", "city")
     points = spark.read.parquet(f"{d}/municipal_points.parquet").selectExpr("point_id as id", "address", "city")
@@ -34,7 +44,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages))
 
 
-QUERIES: dict = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
 
 _P7_LINES = r"""
 WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),
