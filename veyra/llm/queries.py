@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veyra.llm.addresses import same_place
 from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
 from veyra.llm.entities import institution_records, same_institution
+from veyra.llm.language import found_languages, languages
 from veyra.llm.mainbody import main_body
+from veyra.llm.mixing import mix, mix_report
+from veyra.llm.packing import pack, packing_report
 from veyra.llm.repeats import repeated_lines, without_lines
+from veyra.llm.sizes import sized
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +48,31 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages))
 
 
-QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(sized(spark.read.parquet(f"{d}/documents.parquet")), spark.read.parquet(f"{d}/pack_sizes.parquet"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p8_containers(spark, d), spark.read.parquet(f"{d}/pack_sizes.parquet"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(sized(spark.read.parquet(f"{d}/documents.parquet"), keep=("source",)), spark.read.parquet(f"{d}/mix_targets.parquet"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p9_mix(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return found_languages(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 _P7_LINES = r"""
 WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),
