@@ -43,9 +43,10 @@ def mix_size(available: dict[str, int], shares: dict[str, float], repeats: dict[
     return min((available[s] * repeats[s] / shares[s] for s in shares), default=0.0)
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, shard_tokens: int = 1_000_000, most_blocks: int = 65_536, parts: int = 256, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, shard_tokens: int = 1_000_000, most_blocks: int = 65_536, parts: int = 256, fill_from: int = 20_000, seed: int = 17) -> DataFrame:
     """(shard, position, source, doc_id, copy_no, tokens) of the mix, for ``docs`` (doc_id, source, tokens) and ``targets``
-    (source, target_share, max_repeats). The driver holds a row for each target, source part and block, at most ``most_blocks`` blocks."""
+    (source, target_share, max_repeats). The driver holds a row for each target, source part and block, at most ``most_blocks`` blocks, and at most
+    ``fill_from`` documents from which the quotas' last gaps are filled."""
     spark = docs.sparkSession
     schema = "shard int, position long, source string, doc_id long, copy_no int, tokens long"
     goals = {r[0]: (float(r[1]), int(r[2])) for r in targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").distinct().collect()}
@@ -80,19 +81,35 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, shard_to
         owner = np.repeat(np.arange(shards), quotas[:, j])
         shard_of[s] = {blocks[s][int(o)]: int(k) for o, k in zip(order, owner)}
 
+    base = spark.createDataFrame([(s, p, n) for (s, p), n in before.items()], "source string, part int, start long")
+    run = own.join(F.broadcast(base), ["source", "part"]).selectExpr("source", "doc_id", "tokens", "start + coalesce(sum(tokens) over (partition by source, part order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as at")
+    run = stage(run, "mixrun")
+    # the last copy of a source takes what ends within its quota, and then what still fits of the documents that follow
+    rest = {s: quota[s] % total[s] if quota[s] < total[s] * math.ceil(quota[s] / total[s] - 1e-12) else 0.0 for s in names}
+    ends = spark.createDataFrame([(s, float(rest[s])) for s in names], "source string, rest double")
+    run_rest = run.join(F.broadcast(ends), "source")
+    cut = {r[0]: int(r[1]) for r in run_rest.filter("at + tokens <= rest").groupBy("source").agg(F.max(F.col("at") + F.col("tokens"))).collect()}
+    gaps = spark.createDataFrame([(s, cut.get(s, 0), int(rest[s]) - cut.get(s, 0)) for s in names], "source string, cut long, gap long")
+    spare = run.join(F.broadcast(gaps), "source").filter("gap > 0 and at >= cut and at < cut + 8 * gap and tokens <= gap").select("source", "tokens", "doc_id").limit(fill_from).collect()
+    gap = {s: int(rest[s]) - cut.get(s, 0) for s in names}
+    fill: set[tuple[str, int]] = set()
+    for s, n, d in sorted(map(tuple, spare), key=lambda r: (r[0], -r[1], r[2])):
+        if n <= gap[s]:
+            fill.add((s, d))
+            gap[s] -= n
+
     def draw(batches):
         for pdf in batches:
             rows = []
             for s, d, n, at in zip(pdf["source"], pdf["doc_id"], pdf["tokens"], pdf["at"]):
-                b = int(at // block)
-                for c in range(math.ceil(quota[s] / total[s] - 1e-12)):
-                    # the last copy takes the documents that end nearest to its quota
-                    if at + n / 2 <= quota[s] - c * total[s] and (k := shard_of[s].get((c, b))) is not None:
-                        rows.append((k, s, d, c + 1, n))
+                copies = math.ceil(quota[s] / total[s] - 1e-12)
+                for c in range(copies):
+                    late = c == copies - 1 and (s, d) in fill
+                    if at + n <= quota[s] - c * total[s] + 1e-6 or late:
+                        b = int(at // block)
+                        rows.append((shard_of[s].get((c, b), shard_of[s][blocks[s][-1]]), s, d, c + 1, n))
             yield pd.DataFrame(rows, columns=["shard", "source", "doc_id", "copy_no", "tokens"]).astype({"shard": "int32", "doc_id": "int64", "copy_no": "int32", "tokens": "int64"})
 
-    base = spark.createDataFrame([(s, p, n) for (s, p), n in before.items()], "source string, part int, start long")
-    run = own.join(F.broadcast(base), ["source", "part"]).selectExpr("source", "doc_id", "tokens", "start + coalesce(sum(tokens) over (partition by source, part order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as at")
     drawn = run.mapInPandas(draw, "shard int, source string, doc_id long, copy_no int, tokens long")
     return drawn.selectExpr("shard", f"cast(row_number() over (partition by shard order by xxhash64(doc_id, copy_no, shard, {seed}), doc_id, copy_no) as bigint) as position", "source", "doc_id", "copy_no", "tokens")
 
