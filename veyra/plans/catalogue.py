@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veyra.plans import dealt
+from veyra.plans import dealt, joins, registry, relational, windows  # noqa: F401  (modules register their queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return dealt.p1_found(spark, d)
+    return registry.QUERIES["two_level_average"](spark, d)
 
 
 def queries() -> dict:
-    return dict(dealt.QUERIES)
+    return {**dealt.QUERIES, **registry.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return dict(dealt.ORACLE)
+    return {**dealt.ORACLE, **registry.ORACLE}
