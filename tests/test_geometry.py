@@ -27,7 +27,8 @@ def ray(px, py, r):
 
 def star(seed, n):
     rng = np.random.default_rng(seed)
-    a = np.sort(rng.uniform(0, 2 * np.pi, n))
+    # one corner in each sector, so no turn reaches half a circle and the ring never crosses itself
+    a = (np.arange(n) + rng.uniform(0.05, 0.95, n)) * 2 * np.pi / n
     d = rng.uniform(0.3, 1.0, n)
     return np.stack([d * np.cos(a), d * np.sin(a)], 1)
 
@@ -36,8 +37,6 @@ def star(seed, n):
 @given(st.integers(0, 10_000), st.integers(4, 25))
 def test_ears_cover_the_polygon(seed, n):
     ring = star(seed, n)
-    if np.max(np.diff(np.sort(np.arctan2(ring[:, 1], ring[:, 0])))) > 3:
-        return
     t = ear_clip(ring)
     assert area(t) == pytest.approx(shoelace(ring), rel=1e-9)
 
