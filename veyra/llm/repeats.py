@@ -113,16 +113,16 @@ def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_i
     lines = lines_of(pages, id_col, url, text)
     # one row for a line of a page; a hot site is spread by its lines
     per_page = stage(lines.select("site", "page", "key").distinct(), "lines")
-    keyed = with_path(per_page)
+    # trees grow from each line once, however many pages it stands on
+    keyed = with_path(stage(per_page.select("site", "key").distinct(), "keys"))
     leaves = templates(keyed)
 
     @F.pandas_udf("int")
     def pick(ts: pd.Series, toks: pd.Series) -> pd.Series:
-        return pd.Series([next((i for i, t in enumerate(own) if fits(t.split(" "), tk)), -1) for own, tk in zip(ts, toks)], dtype="int32")
+        split: dict[str, list[str]] = {}
+        return pd.Series([next((i for i, t in enumerate(own) if fits(split.setdefault(t, t.split(" ")), tk)), -1) for own, tk in zip(ts, toks)], dtype="int32")
 
-    # a line is looked up once, however many pages it stands on
-    lookup = keyed.select("site", "key", "path", "tokens").dropDuplicates(["site", "key"]).join(leaves, ["site", "path"])
-    placed = stage(lookup.select("site", "key", "path", pick("templates", "tokens").alias("template")), "placed")
+    placed = stage(keyed.join(leaves, ["site", "path"]).select("site", "key", "path", pick("templates", "tokens").alias("template")), "placed")
     covered = per_page.join(placed, ["site", "key"]).groupBy("site", "path", "template").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
     wanted = placed.join(covered, ["site", "path", "template"], "left_semi").select("site", "key")
     exact = per_page.join(wanted, ["site", "key"], "left_semi").groupBy("site", "key").agg(F.count("page").alias("pages")).filter(F.col("pages") >= least_pages).select("site", "key")
