@@ -83,8 +83,8 @@ def templates(keyed: DataFrame, share: float = 0.5, most: int = 64, leaves_held:
         trees: dict[tuple[str, str], dict[tuple[str, ...], int]] = {}
 
         def emit():
-            rows = [(s, p, " ".join(t), n) for (s, p), leaf in trees.items() for t, n in _merge(sorted(leaf.items()), share, most)]
-            return pd.DataFrame(rows, columns=["site", "path", "template", "n"])
+            rows = [(s, p, " ".join(t)) for (s, p), leaf in trees.items() for t, _ in _merge(sorted(leaf.items()), share, most)]
+            return pd.DataFrame(rows, columns=["site", "path", "template"])
 
         for pdf in batches:
             for site, path, toks in zip(pdf["site"], pdf["path"], pdf["tokens"]):
@@ -98,14 +98,19 @@ def templates(keyed: DataFrame, share: float = 0.5, most: int = 64, leaves_held:
                 trees.clear()
         yield emit()
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted((tuple(t.split(" ")), n) for t, n in zip(pdf["template"], pdf["n"]))
-        ts = sorted((t for t, _ in _merge(found, share, most)), key=lambda t: (t.count(SLOT), t))
-        return pd.DataFrame({"site": [key[0]], "path": [key[1]], "templates": [[" ".join(t) for t in ts]]})
-
-    local = keyed.select("site", "path", "tokens").mapInPandas(grow, "site string, path string, template string, n long")
+    def join(batches):
+        for pdf in batches:
+            out = []
+            for found in pdf["found"]:
+                ts = [tuple(t.split(" ")) for t in sorted(found)]
+                ts = [t for t, _ in _merge([(t, 1) for t in ts], share, most)] if len(ts) > 1 else ts
+                out.append([" ".join(t) for t in sorted(ts, key=lambda t: (t.count(SLOT), t))])
+            yield pd.DataFrame({"site": pdf["site"], "path": pdf["path"], "templates": out})
+
+    local = keyed.select("site", "path", "tokens").mapInPandas(grow, "site string, path string, template string")
+    # a leaf gets at most ``most`` templates from each partition
     parts = parallelism(keyed.sparkSession)
-    return local.repartition(parts, "site", "path").groupBy("site", "path").applyInPandas(join, "site string, path string, templates array<string>")
+    return local.groupBy("site", "path").agg(F.collect_set("template").alias("found")).repartition(parts).mapInPandas(join, "site string, path string, templates array<string>")
 
 
 def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url: str = "url", text: str = "raw_markdown") -> DataFrame:
