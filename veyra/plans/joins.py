@@ -100,28 +100,32 @@ def others_in_group(t: Tables) -> DataFrame:
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
-    o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
-    old = o.filter("o_orderkey % 10 != 0")
-    new = o.filter("o_orderkey % 3 != 0").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
-    return old, new
+    """The registry as it was known at the middle of its fetches, and what has been fetched since: the newest row of each id."""
+    r = t.dz_responses.select("dz_id", "name_full", "address", "fetched_at", "response_id")
+    ends = r.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"))
+    late = F.col("fetched_at") >= F.timestamp_micros(((F.unix_micros(F.col("a").cast("timestamp")) + F.unix_micros(F.col("b").cast("timestamp"))) / 2).cast("long")).cast("timestamp_ntz")
+    g = r.crossJoin(F.broadcast(ends)).groupBy("dz_id", late.alias("late")).agg(F.max_by(F.struct("name_full", "address"), F.struct("fetched_at", "response_id")).alias("v"))
+    return g.filter("not late").select("dz_id", "v.*"), g.filter("late").select("dz_id", "v.*")
 
 
-OLD_NEW = """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0)"""
+OLD_NEW = """WITH m AS (SELECT (epoch_us(min(fetched_at)) + epoch_us(max(fetched_at))) // 2 AS mid FROM dz_responses),
+r AS (SELECT dz_id, name_full, address, epoch_us(fetched_at) >= mid AS late, row_number() OVER (PARTITION BY dz_id, epoch_us(fetched_at) >= mid ORDER BY fetched_at DESC, response_id DESC) AS k FROM dz_responses, m),
+a AS (SELECT dz_id, name_full, address FROM r WHERE k = 1 AND NOT late), b AS (SELECT dz_id, name_full, address FROM r WHERE k = 1 AND late)"""
 
 
-@query(OLD_NEW + """, j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderkey IS NULL AS isnew, b.o_orderkey IS NULL AS gone, a.o_orderstatus AS s0, a.o_totalprice AS p0, coalesce(b.o_orderstatus, a.o_orderstatus) AS s, CASE WHEN b.o_orderkey IS NULL THEN a.o_totalprice ELSE b.o_totalprice END AS p FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)
-SELECT o_orderkey, s AS o_orderstatus, p AS o_totalprice, CASE WHEN isnew THEN 'created' WHEN gone THEN 'kept' WHEN s IS NOT DISTINCT FROM s0 AND p IS NOT DISTINCT FROM p0 THEN 'unchanged' ELSE 'updated' END AS action FROM j""")
+@query(OLD_NEW + """, j AS (SELECT coalesce(a.dz_id, b.dz_id) AS dz_id, a.dz_id IS NULL AS isnew, b.dz_id IS NULL AS gone, a.name_full AS n0, a.address AS a0, CASE WHEN b.dz_id IS NULL THEN a.name_full ELSE b.name_full END AS n, coalesce(b.address, a.address) AS ad FROM a FULL JOIN b ON a.dz_id = b.dz_id)
+SELECT dz_id, n AS name_full, ad AS address, CASE WHEN isnew THEN 'created' WHEN gone THEN 'kept' WHEN n IS NOT DISTINCT FROM n0 AND ad IS NOT DISTINCT FROM a0 THEN 'unchanged' ELSE 'updated' END AS action FROM j""")
 def upsert_merge(t: Tables) -> DataFrame:
-    """Two versions of one table derived from its keys, merged: a stored status is never lost to a null."""
+    """Later fetches merged into earlier ones by key: a stored address is never lost to a null."""
     old, new = _versions(t)
-    return upsert(old, new, ["o_orderkey"], keep_old_if_null=["o_orderstatus"])
+    return upsert(old, new, ["dz_id"], keep_old_if_null=["address"])
 
 
-@query(OLD_NEW + """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
-WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""")
+@query(OLD_NEW + """SELECT coalesce(a.dz_id, b.dz_id) AS dz_id, CASE WHEN a.dz_id IS NULL THEN 'added' WHEN b.dz_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.dz_id = b.dz_id
+WHERE a.dz_id IS NULL OR b.dz_id IS NULL OR a.name_full IS DISTINCT FROM b.name_full OR a.address IS DISTINCT FROM b.address""")
 def version_diff(t: Tables) -> DataFrame:
     old, new = _versions(t)
-    return snapshot_diff(old, new, ["o_orderkey"])
+    return snapshot_diff(old, new, ["dz_id"])
 
 
 @query("""WITH a AS (SELECT category, period, count(*) AS n FROM pricing WHERE academic_year = '2024/2025' GROUP BY 1, 2), b AS (SELECT category, period, count(*) AS n FROM pricing WHERE academic_year = '2025/2026' GROUP BY 1, 2),
@@ -151,10 +155,12 @@ def fill_from_superseded(t: Tables) -> DataFrame:
     return v.select("price_id", "period", best.alias("b")).select("price_id", F.coalesce("period", "b.period").alias("period"), (F.col("period").isNull() & F.col("b").isNotNull()).alias("filled"))
 
 
-@query("""WITH u AS (SELECT school_id, lower(regexp_extract(website_url, '^[a-z]+://(?:www\\.)?([^/:?#]+)', 1)) AS host FROM (SELECT DISTINCT school_id, website_url FROM schools WHERE website_url IS NOT NULL)) SELECT host, count(DISTINCT school_id) AS members, list_sort(list(DISTINCT school_id)) AS schools FROM u WHERE host <> '' GROUP BY 1 HAVING count(DISTINCT school_id) >= 2""".replace("\\\\", "\\"))
+@query(r"""WITH u AS (SELECT DISTINCT school_id, lower(regexp_extract(website_url, '^[a-z]+://(?:www\.)?([^/:?#]+)', 1)) AS host FROM schools WHERE website_url IS NOT NULL), n AS (SELECT host, count(*) AS members FROM u WHERE host <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT host, members, school_id FROM u JOIN n USING (host)""")
 def shared_hosts(t: Tables) -> DataFrame:
+    """Members of each site that several entities share, a row for each: a host of any size is no single value."""
     u = t.schools.select("school_id", F.lower(F.regexp_extract("website_url", r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)).alias("host")).filter("host != ''").distinct()
-    return u.groupBy("host").agg(F.count("*").alias("members"), F.sort_array(F.collect_list("school_id")).alias("schools")).filter("members >= 2")
+    n = u.groupBy("host").agg(F.count("*").alias("members")).filter("members >= 2")
+    return u.join(n, "host").select("host", "members", "school_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25")

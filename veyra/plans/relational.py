@@ -134,12 +134,13 @@ def json_key_counts(t: Tables) -> DataFrame:
     return t.events.select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT round(lat, 4) AS lat4, round(lng, 4) AS lng4, count(DISTINCT school_id) AS owners, list_sort(list(DISTINCT school_id)) AS schools FROM place_pins
-WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0) GROUP BY 1, 2 HAVING count(DISTINCT school_id) >= 2""")
+@query("""WITH p AS (SELECT DISTINCT round(lat, 4) AS lat4, round(lng, 4) AS lng4, school_id FROM place_pins WHERE lat IS NOT NULL AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0)), g AS (SELECT lat4, lng4, count(*) AS owners FROM p GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT lat4, lng4, owners, school_id FROM p JOIN g USING (lat4, lng4)""")
 def duplicate_groups(t: Tables) -> DataFrame:
-    """Owners that share a rounded position."""
+    """Owners that share a rounded position, a row for each."""
     p = t.place_pins.filter("lat is not null and lng is not null and not (lat = 0 and lng = 0)").select(F.round("lat", 4).alias("lat4"), F.round("lng", 4).alias("lng4"), "school_id").distinct()
-    return p.groupBy("lat4", "lng4").agg(F.count("school_id").alias("owners"), F.sort_array(F.collect_list("school_id")).alias("schools")).filter("owners >= 2")
+    g = p.groupBy("lat4", "lng4").agg(F.count("*").alias("owners")).filter("owners >= 2")
+    return p.join(g, ["lat4", "lng4"]).select("lat4", "lng4", "owners", "school_id")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
