@@ -115,11 +115,14 @@ def templates(keyed: DataFrame, share: float = 0.5, most: int = 64, leaves_held:
 
 def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url: str = "url", text: str = "raw_markdown") -> DataFrame:
     """(page_id, line_no) of every occurrence of a line that stands on at least ``least_pages`` pages of its site."""
+    # two 64-bit hashes stand for a line and one for a page, so that texts cross the network once
     lines = lines_of(pages, id_col, url, text)
+    hashed = lines.select("page_id", "line_no", "site", F.xxhash64("page").alias("pg"), F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(7)).alias("k2"), "key")
+    line = ["site", "k1", "k2"]
     # one row for a line of a page; a hot site is spread by its lines
-    per_page = stage(lines.select("site", "page", "key").distinct(), "lines")
+    per_page = stage(hashed.select(*line, "pg").distinct(), "lines")
     # trees grow from each line once, however many pages it stands on
-    keyed = with_path(stage(per_page.select("site", "key").distinct(), "keys"))
+    keyed = with_path(stage(hashed.select(*line, "key").dropDuplicates(line), "keys"))
     leaves = templates(keyed)
 
     @F.pandas_udf("int")
@@ -127,11 +130,12 @@ def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_i
         split: dict[str, list[str]] = {}
         return pd.Series([next((i for i, t in enumerate(own) if fits(split.setdefault(t, t.split(" ")), tk)), -1) for own, tk in zip(ts, toks)], dtype="int32")
 
-    placed = stage(keyed.join(leaves, ["site", "path"]).select("site", "key", "path", pick("templates", "tokens").alias("template")), "placed")
-    covered = per_page.join(placed, ["site", "key"]).groupBy("site", "path", "template").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
-    wanted = placed.join(covered, ["site", "path", "template"], "left_semi").select("site", "key")
-    exact = per_page.join(wanted, ["site", "key"], "left_semi").groupBy("site", "key").agg(F.count("page").alias("pages")).filter(F.col("pages") >= least_pages).select("site", "key")
-    return lines.join(exact, ["site", "key"], "left_semi").select("page_id", "line_no").distinct()
+    placed = keyed.select(*line, "path", "tokens").join(leaves, ["site", "path"]).select(*line, F.xxhash64("path").alias("leaf"), pick("templates", "tokens").alias("template"))
+    placed = stage(placed, "placed")
+    covered = per_page.join(placed, line).groupBy("site", "leaf", "template").agg(F.count_distinct("pg").alias("pages")).filter(F.col("pages") >= least_pages)
+    wanted = placed.join(covered, ["site", "leaf", "template"], "left_semi").select(*line)
+    exact = per_page.join(wanted, line, "left_semi").groupBy(*line).agg(F.count("pg").alias("pages")).filter(F.col("pages") >= least_pages).select(*line)
+    return hashed.select("page_id", "line_no", *line).join(exact, line, "left_semi").select("page_id", "line_no").distinct()
 
 
 def without_lines(pages: DataFrame, hits: DataFrame, id_col: str = "page_id", text: str = "raw_markdown") -> DataFrame:
