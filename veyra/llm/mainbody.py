@@ -35,7 +35,7 @@ ASIDE_HEADS = r"вижте още|виж още|последни новини|п
 LANGUAGES = r"(?:bg|en|de|ru|fr|tr|mk|es)(?:[\s|/]+(?:bg|en|de|ru|fr|tr|mk|es))+"
 SITE_TITLES = [
     r"(?:детска градина|детска ясла|(?:основно|начално|средно) училище|дг|дя|оу|ну|су)\s+(?:№\s*)?\d*\s*[„\"«“][^„\"«“”»]+[“”\"»]",
-    r"(?:the )?[^-–,:()0-9]+ (?:kindergarten|nursery|(?:primary|elementary|secondary) school)",
+    r"(?:the )?[^\s,:()0-9]+(?: [^\s,:()0-9]+)? (?:kindergarten|nursery|(?:primary|elementary|secondary) school)",
     r"(?:градски |детски )?портал(?: за родители)?|(?:city )?portal for parents|(?:city )?parents'? portal",
 ]
 INSERTED = [
@@ -54,12 +54,13 @@ FURNITURE = [
 TEASERS = [
     r"\[(?:прочети|виж|read|see) (?:повече|още|more)[^\]]*\]",
     r"\(\d{1,2}\.\d{1,2}\.\d{4}\)\W*$",
-    r"^ден на .+ в \S+$|^a day of .+ in \S+$",
+    r"^ден на .+ в [^,.]+$|^a day of .+ in [^,.]+$",
     r"^снимки: |^pictures: |^photos: ",
     r"^конкурс за .+: резултати за |^contest in .+: results for ",
     r"^пет съвета за |^five tips on ",
     r"^как избрахме |^why .+ chose ",
-    r" отново с награда$| wins again$",
+    r" отново с награда(?:, \S+)?$| wins again(?:, \S+)?$",
+    r"…, [^,.…]+$",
 ]
 _BUTTON = re.compile(rf"(?:(?:{BUTTONS})[\s|/,]*)+")
 _NAV = re.compile(rf"(?:{NAVIGATION})")
