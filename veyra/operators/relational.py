@@ -83,14 +83,28 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, change.alias("change")).filter("change is not null")
 
 
+def sliced_running_sum(df: DataFrame, keys: list[str], slice_of: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` in each key's order, made in slices of that order.
+
+    Slices must follow the order. Each is summed by a task of its own and starts from the sum of those before it, so a key of any
+    share of the rows is many tasks. Null keys are one key.
+    """
+    d = df.withColumn("_k", F.to_json(F.struct(*[F.col(k).alias(k) for k in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("")).withColumn("_s", slice_of).withColumn("_v", value)
+    per = d.groupBy("_k", "_s").agg(F.sum("_v").alias("_t"))
+    before = per.select("_k", "_s", (F.sum("_t").over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).alias("_b"))
+    w = Window.partitionBy("_k", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.join(before, ["_k", "_s"]).withColumn(name, F.col("_b") + F.sum("_v").over(w)).drop("_k", "_s", "_v", "_b")
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column], budget: str, most: float) -> DataFrame:
     """Rows taken one from each group in turn while the running sum of ``budget`` stays within ``most``.
 
-    The turn is a row's rank in its group; sums run over turns first, so only the turns near the end are summed row by row.
+    The turn is a row's rank in its group. Turns are summed first, in slices; only the turns that begin within the budget are
+    then summed row by row.
     """
     ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    per_turn = ranked.groupBy("turn").agg(F.sum(budget).alias("_s"))
-    before = per_turn.select("turn", (F.sum("_s").over(Window.orderBy("turn")) - F.col("_s")).alias("_before")).filter(F.col("_before") <= most)
+    per_turn = sliced_running_sum(ranked.groupBy("turn").agg(F.sum(budget).alias("_sum")), [], F.floor(F.col("turn") / 4096), [F.col("turn")], F.col("_sum"), "_upto")
+    before = per_turn.select("turn", (F.col("_upto") - F.col("_sum")).alias("_before")).filter(F.col("_before") <= most)
     w = Window.partitionBy("turn").orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.join(before, "turn").withColumn("_run", F.col("_before") + F.sum(budget).over(w)).filter(F.col("_run") <= most).drop("_before", "_run")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veyra.plans import dealt, geo, joins, nested, registry, relational, streams, texts, windows  # noqa: F401  (modules register their queries)
+from veyra.plans import dealt, further, geo, joins, nested, registry, relational, streams, texts, windows  # noqa: F401  (modules register their queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -88,12 +88,6 @@ def hosts_by_city(t: Tables) -> DataFrame:
     return h.groupBy("city").agg(F.count("*").alias("sites"), F.count_distinct("host").alias("hosts"), F.min("host").alias("first_host"), F.max(F.length("host")).cast("long").alias("longest"))
 
 
-@query("""SELECT o_orderkey, o_totalprice, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS quarter, round(percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 6) AS rank_share FROM orders""")
-def rank_bands(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority")
-    return t.orders.select("o_orderkey", "o_totalprice", F.ntile(4).over(w.orderBy("o_totalprice", "o_orderkey")).cast("long").alias("quarter"), F.round(F.percent_rank().over(w.orderBy("o_totalprice")), 6).alias("rank_share"))
-
-
 @query("""WITH g AS (SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY 1), r AS (SELECT n, total, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS ra, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS rb FROM g)
 SELECT count(*) AS customers, round(corr(ra, rb), 6) AS rank_correlation FROM r""")
 def rank_correlation(t: Tables) -> DataFrame:

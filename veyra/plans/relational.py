@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veyra.functions.columns import closed, finite, in_box, percent, ratio
-from veyra.operators.relational import best_of
+from veyra.operators.relational import best_of, sliced_running_sum
 from veyra.plans.registry import query
 from veyra.sources.tables import Tables
 
@@ -197,8 +197,8 @@ def mode_or_ambiguous(t: Tables) -> DataFrame:
 SELECT o_custkey, CAST(count(*) FILTER (WHERE run <= 500000) AS BIGINT) AS within, CAST(count(*) FILTER (WHERE run > 500000) AS BIGINT) AS beyond, CAST(coalesce(max(CASE WHEN run <= 500000 THEN run END), 0) AS DOUBLE) AS spent FROM l GROUP BY 1""")
 def ledger_with_cap(t: Tables) -> DataFrame:
     """Running exact sums against a cap that equality still meets."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = t.orders.withColumn("run", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w))
+    o = t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    run = sliced_running_sum(o, ["o_custkey"], F.date_trunc("quarter", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_totalprice").cast("decimal(18,2)"), "run")
     return run.groupBy("o_custkey").agg(F.count_if(F.col("run") <= 500000).alias("within"), F.count_if(F.col("run") > 500000).alias("beyond"), F.coalesce(F.max(F.when(F.col("run") <= 500000, F.col("run"))), F.lit(0)).cast("double").alias("spent"))
 
 

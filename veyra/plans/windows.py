@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veyra.functions.columns import canonical_url, school_year_start
-from veyra.operators.relational import best_of, carried, round_robin
+from veyra.operators.relational import carried, round_robin, sliced_running_sum
 from veyra.plans.registry import query
 from veyra.sources.tables import Tables
 
@@ -64,16 +64,21 @@ SELECT price_id, school_id, y AS year FROM m WHERE y IS NULL OR y = latest OR y
 def latest_year_rows(t: Tables) -> DataFrame:
     """Rows of the latest year of their group, rows without a year, and older ones that no later year repeats."""
     f = t.pricing.select("price_id", "school_id", "category", "plan_name", "amount", "currency", "period", school_year_start(F.col("academic_year")).alias("y")).distinct()
-    m = f.withColumn("latest", F.max("y").over(Window.partitionBy("school_id", "category"))).withColumn("same", F.max("y").over(Window.partitionBy("school_id", "category", "plan_name", "amount", "currency", "period")))
+    f = f.withColumn("group", F.xxhash64(F.to_json(F.struct("school_id", "category"), {"ignoreNullFields": "false"}))).withColumn("content", F.sha2(F.to_json(F.struct("school_id", "category", "plan_name", "amount", "currency", "period"), {"ignoreNullFields": "false"}), 256))
+    latest = f.groupBy("group").agg(F.max("y").alias("latest"))
+    same = f.groupBy("content").agg(F.max("y").alias("same"))
+    m = f.join(latest, "group").join(same, "content")
     return m.filter("y is null or y = latest or y = same").select("price_id", "school_id", F.col("y").alias("year"))
 
 
 @query("""WITH e AS (SELECT event_type, event_id, value, count(*) OVER (PARTITION BY event_type ORDER BY value RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, value, event_id) AS k FROM e)
 SELECT event_type, value AS starts, n FROM r WHERE k = 1""")
 def densest_window(t: Tables) -> DataFrame:
-    """The start with the most values within five of it: a range frame, then an aggregate."""
-    w = Window.partitionBy("event_type").orderBy("value").rangeBetween(Window.currentRow, 5)
-    e = t.events.filter("value is not null").select("event_type", "event_id", "value", F.count("*").over(w).alias("n"))
+    """The start with the most values within five of it: range frames over cells of five, each with its neighbour's values."""
+    own = F.floor(F.col("value") / 5)
+    cells = t.events.filter("value is not null").select("event_type", "value", own.alias("own"), F.explode(F.array(own, own - 1)).alias("cell"))
+    w = Window.partitionBy("event_type", "cell").orderBy("value").rangeBetween(Window.currentRow, 5)
+    e = cells.withColumn("n", F.count("*").over(w)).filter("cell = own")
     return e.groupBy("event_type").agg(F.max(F.struct("n", (-F.col("value")).alias("v"))).alias("m")).select("event_type", (-F.col("m.v")).alias("starts"), F.col("m.n").alias("n"))
 
 
@@ -128,10 +133,13 @@ def round_robin_pick(t: Tables) -> DataFrame:
 s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS starts, max(ts) AS ends FROM s GROUP BY 1, 2""")
 def sessions(t: Tables) -> DataFrame:
     """Runs of a user's events no more than half an hour apart."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
-    e = t.events.select("user_id", "event_id", "ts", F.when(gap <= 1_800_000_000, 0).otherwise(1).alias("opens"))
-    s = e.withColumn("session", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    e = t.events.select("user_id", "event_id", "ts", F.to_date("ts").alias("day"))
+    # each day of a user is a slice; its first event looks back to the last one of the slice before
+    last = e.groupBy("user_id", "day").agg(F.max("ts").alias("_last"))
+    last = last.select("user_id", "day", F.lag("_last").over(Window.partitionBy("user_id").orderBy("day")).alias("_back"))
+    before = F.coalesce(F.lag("ts").over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id")), F.col("_back"))
+    e = e.join(last, ["user_id", "day"]).withColumn("opens", F.when(F.timestamp_diff("MICROSECOND", before, F.col("ts")) <= 1_800_000_000, 0).otherwise(1))
+    s = sliced_running_sum(e, ["user_id"], F.col("day"), [F.col("ts"), F.col("event_id")], F.col("opens"), "session")
     return s.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("starts"), F.max("ts").alias("ends"))
 
 
