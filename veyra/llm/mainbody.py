@@ -21,8 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veyra.session import parallelism
-
 # Wordings of site furniture in Bulgarian and English.
 COOKIES = r"(?:използва|разреш|приема|съгласявате).{0,60}бисквитк|бисквитк.{0,80}(?:политик|услов|поверителност|декларация)|(?:uses?|allow|accept).{0,30} cookies|cookie (?:policy|notice|settings)|на вашето устройство|data on your device|^вашата поверителност|^your privacy"
 BUTTONS = r"приемам(?: всички)?|отказвам|разбрах|настройки|само необходимите|съгласен съм|accept(?: all)?|reject(?: all)?|decline|got it|settings|only necessary|i agree|ok"
@@ -120,7 +118,6 @@ def _markup(line: str) -> str:
         body = f"<li>{body}</li>"
     return body
 
-
 HEAD, FURNISHED, INSERT, ASIDE, TEASER, CONTENT, OPEN, BLANK = "head", "furnished", "insert", "aside", "teaser", "content", "open", "blank"
 
 
@@ -238,6 +235,5 @@ def main_body(pages: DataFrame, id_col: str = "page_id", text: str = "raw_markdo
             yield pd.DataFrame(rows, columns=["page_id", "line_no"]).astype({"page_id": "int64", "line_no": "int32"})
 
     src = pages.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(text).alias("text"))
-    # the same page again is parsed once, and long pages are spread over the tasks
-    src = src.repartition(parallelism(pages.sparkSession), "page_id").dropDuplicates(["page_id", "text"])
+    # pages are parsed where they are read; a page that repeats gives its lines again, and these are made one
     return src.mapInPandas(parse, "page_id long, line_no int").distinct()

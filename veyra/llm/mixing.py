@@ -117,6 +117,6 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: int | None = None, shard_to
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, actual_share, most_copies) of each target."""
     per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("copy_no").alias("most_copies"))
-    whole = mixed.agg(F.sum("tokens").alias("whole"))
-    out = targets.select("source", "target_share", "max_repeats").distinct().join(per, "source", "left").crossJoin(F.broadcast(whole))
-    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    whole = mixed.agg(F.sum("tokens").alias("whole")).scalar()
+    out = targets.select("source", "target_share", "max_repeats").distinct().join(per, "source", "left")
+    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))

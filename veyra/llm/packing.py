@@ -141,7 +141,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, salts: int = 64) -> DataFrame:
     spark = sizes.sparkSession
     packs = [(r[0], int(r[1])) for r in capacities.filter("pack_code is not null and capacity_tokens > 0").select("pack_code", "capacity_tokens").distinct().orderBy("pack_code").collect()]
     base = stage(sizes.filter("doc_id is not null").select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).distinct(), "sizes")
-    out = base.filter("tokens <= 0").crossJoin(spark.createDataFrame([(p,) for p, _ in packs], "pack_code string")) if packs else None
+    out = base.filter("tokens <= 0").withColumn("pack_code", F.explode(F.array(*[F.lit(p) for p, _ in packs]))) if packs else None
     if out is None:
         return spark.createDataFrame([], "pack_code string, container_no long, doc_id long, piece_no int, first_token long, tokens long")
     out = out.select("pack_code", F.lit(0).cast("long").alias("container_no"), "doc_id", F.lit(1).alias("piece_no"), F.lit(1).cast("long").alias("first_token"), F.lit(0).cast("long").alias("tokens"))
