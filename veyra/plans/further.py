@@ -60,9 +60,8 @@ SELECT user_id, CASE WHEN last_at >= now - INTERVAL 12 HOUR THEN 'running' WHEN
 def stale_runs(t: Tables) -> DataFrame:
     """Runs whose last sign of life is too old end as partial or failed, by whether they left anything."""
     g = t.events.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count_if(F.col("event_type") == "purchase").alias("evidence"))
-    m = t.events.agg(F.max("ts").alias("now"))
-    late = F.col("last_at") < F.col("now") - F.expr("interval 12 hours")
-    return g.crossJoin(F.broadcast(m)).select("user_id", F.when(~late, "running").when(F.col("evidence") > 0, "partial").otherwise("failed").alias("status"), "last_at")
+    late = F.col("last_at") < t.events.agg(F.max("ts").alias("now")).scalar() - F.expr("interval 12 hours")
+    return g.select("user_id", F.when(~late, "running").when(F.col("evidence") > 0, "partial").otherwise("failed").alias("status"), "last_at")
 
 
 @query(f"""WITH q AS (SELECT DISTINCT location_id AS id, lat, lng FROM place_pins WHERE {GOOD}), p AS (SELECT DISTINCT point_id AS id, lat, lng FROM municipal_points WHERE {GOOD}),
@@ -82,9 +81,9 @@ def points_by_region(t: Tables) -> DataFrame:
     """Points counted by the region that holds them, regions without any included."""
     i = regions_of_points(positioned(t.municipal_points, "point_id"), t.districts, "district_id")
     n = i.groupBy("region").agg(F.count("*").alias("points"))
-    every = i.agg(F.count_distinct("id").alias("inside_any"))
+    every = i.agg(F.count_distinct("id").alias("n")).scalar()
     d = t.districts.select("district_id", "name").distinct()
-    return d.join(n, F.col("district_id") == F.col("region"), "left").crossJoin(F.broadcast(every)).select("district_id", "name", F.coalesce("points", F.lit(0)).alias("points"), "inside_any")
+    return d.join(n, F.col("district_id") == F.col("region"), "left").select("district_id", "name", F.coalesce("points", F.lit(0)).alias("points"), every.alias("inside_any"))
 
 
 @query(r"""SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(raw_markdown, '(^|[^0-9])(0[0-9]{1,2} [0-9]{3} [0-9]{4})', 2), lambda x: '+359' || substr(replace(x, ' ', ''), 2)))) AS phones FROM pages WHERE raw_markdown IS NOT NULL""")

@@ -102,9 +102,10 @@ def others_in_group(t: Tables) -> DataFrame:
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """The registry as it was known at the middle of its fetches, and what has been fetched since: the newest row of each id."""
     r = t.dz_responses.select("dz_id", "name_full", "address", "fetched_at", "response_id")
-    ends = r.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"))
-    late = F.col("fetched_at") >= F.timestamp_micros(((F.unix_micros(F.col("a").cast("timestamp")) + F.unix_micros(F.col("b").cast("timestamp"))) / 2).cast("long")).cast("timestamp_ntz")
-    g = r.crossJoin(F.broadcast(ends)).groupBy("dz_id", late.alias("late")).agg(F.max_by(F.struct("name_full", "address"), F.struct("fetched_at", "response_id")).alias("v"))
+    ends = [F.unix_micros(f("fetched_at").cast("timestamp")) for f in (F.min, F.max)]
+    middle = r.agg(F.timestamp_micros(((ends[0] + ends[1]) / 2).cast("long")).cast("timestamp_ntz").alias("m")).scalar()
+    late = F.col("fetched_at") >= middle
+    g = r.groupBy("dz_id", late.alias("late")).agg(F.max_by(F.struct("name_full", "address"), F.struct("fetched_at", "response_id")).alias("v"))
     return g.filter("not late").select("dz_id", "v.*"), g.filter("late").select("dz_id", "v.*")
 
 
@@ -141,8 +142,8 @@ SELECT a.dz_id, CASE WHEN s.dz_id IS NULL THEN a.last_at END AS inactive_since F
 def soft_delete(t: Tables) -> DataFrame:
     """Records absent from the latest scan are marked with the time they were last seen; nothing is deleted."""
     last = t.dz_responses.groupBy("dz_id").agg(F.max("fetched_at").alias("last_at"))
-    newest = t.dz_responses.agg((F.max("fetched_at") - F.expr("interval 180 days")).alias("cut"))
-    return last.crossJoin(F.broadcast(newest)).select("dz_id", F.when(F.col("last_at") < F.col("cut"), F.col("last_at")).alias("inactive_since"))
+    cut = t.dz_responses.agg((F.max("fetched_at") - F.expr("interval 180 days")).alias("cut")).scalar()
+    return last.select("dz_id", F.when(F.col("last_at") < cut, F.col("last_at")).alias("inactive_since"))
 
 
 @query("""WITH v AS (SELECT DISTINCT school_id, category, plan_name, amount, currency, period, price_id, loaded_at FROM pricing WHERE amount IS NOT NULL), f AS (SELECT school_id, category, plan_name, amount, currency, arg_max(period, (loaded_at, price_id)) AS period FROM v WHERE period IS NOT NULL GROUP BY 1, 2, 3, 4, 5)

@@ -74,10 +74,10 @@ def keyword_classes(t: Tables) -> DataFrame:
 SELECT school_id, round(CAST(cats AS DOUBLE) / every, 4) AS coverage, CASE WHEN cats * 1.0 / every >= 0.8 THEN 'full' WHEN cats * 1.0 / every >= 0.4 THEN 'part' ELSE 'thin' END AS band FROM d, c""")
 def coverage_bands(t: Tables) -> DataFrame:
     p = t.pricing.filter("category is not null").select("school_id", "category").distinct()
-    c = p.agg(F.count_distinct("category").alias("every"))
-    d = p.groupBy("school_id").agg(F.count("*").alias("cats")).crossJoin(F.broadcast(c))
-    share = F.col("cats") / F.col("every")
-    return d.select("school_id", ratio(F.col("cats"), F.col("every")).alias("coverage"), F.when(share >= 0.8, "full").when(share >= 0.4, "part").otherwise("thin").alias("band"))
+    every = p.agg(F.count_distinct("category").alias("every")).scalar()
+    d = p.groupBy("school_id").agg(F.count("*").alias("cats"))
+    share = F.col("cats") / every
+    return d.select("school_id", ratio(F.col("cats"), every).alias("coverage"), F.when(share >= 0.8, "full").when(share >= 0.4, "part").otherwise("thin").alias("band"))
 
 
 @query("""WITH s AS (SELECT DISTINCT school_id, website_url, city FROM schools WHERE website_url IS NOT NULL), h AS (SELECT school_id, city, split_part(regexp_replace(lower(website_url), '^[a-z]+://(www\\.)?', ''), '/', 1) AS host FROM s)
@@ -97,8 +97,8 @@ def rank_correlation(t: Tables) -> DataFrame:
     def ranks(df: DataFrame, c: str, name: str) -> DataFrame:
         # equal values are counted first; the counts are ranged over buckets whose sums are few
         v = df.groupBy(c).agg(F.count("*").alias("_m"))
-        ends = df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
-        v = v.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor(F.when(F.col("_hi") > F.col("_lo"), (F.col(c).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 1023).otherwise(0)))
+        ends = df.agg(F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias("e")).scalar()
+        v = v.withColumn("_b", F.floor(F.when(ends["hi"] > ends["lo"], (F.col(c).cast("double") - ends["lo"]) / (ends["hi"] - ends["lo"]) * 1023).otherwise(0)))
         b = v.groupBy("_b").agg(F.sum("_m").alias("_s"))
         b = b.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))
         w = Window.partitionBy("_b").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -113,8 +113,8 @@ SELECT min(day) AS day FROM c, m WHERE dayofweek(day) BETWEEN 2 AND 4 AND n >= 0
 def normal_day(t: Tables) -> DataFrame:
     """The first Tuesday to Thursday with about as many rows as the median day."""
     c = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    m = c.agg(F.median("n").alias("mid"))
-    return c.crossJoin(F.broadcast(m)).filter(F.dayofweek("day").between(3, 5) & (F.col("n") >= 0.9 * F.col("mid"))).agg(F.min("day").alias("day"))
+    mid = c.agg(F.median("n").alias("mid")).scalar()
+    return c.filter(F.dayofweek("day").between(3, 5) & (F.col("n") >= 0.9 * mid)).agg(F.min("day").alias("day"))
 
 
 @query("""WITH k AS (SELECT source, lower(unnest(regexp_extract_all(text, '\\p{L}{4,}'))) AS w FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), c AS (SELECT source, w, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS rank FROM c)

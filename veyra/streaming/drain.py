@@ -37,6 +37,5 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
         out = out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
         return out.select(*stream.columns)
     if mode == "complete":
-        last = out.agg(F.max("batch").alias("batch"))
-        return out.join(F.broadcast(last), "batch").drop("batch")
+        return out.filter(F.col("batch") == out.agg(F.max("batch")).scalar()).drop("batch")
     return out.drop("batch")

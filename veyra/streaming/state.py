@@ -18,8 +18,8 @@ def daily_counts(stream: DataFrame, time: str, key: str, late: str = "2 days") -
 
 def trailing_rollup(days: DataFrame, key: str, window: int, least_days: int, retention: int) -> DataFrame:
     """(key, n, days) over the last ``window`` of the days kept, keys seen on fewer than ``least_days`` left out."""
-    newest = days.agg(F.max("day").alias("newest"))
-    d = days.crossJoin(F.broadcast(newest)).filter(F.col("day") > F.col("newest") - F.make_dt_interval(F.lit(min(window, retention))))
+    newest = days.agg(F.max("day").alias("newest")).scalar()
+    d = days.filter(F.col("day") > newest - F.make_dt_interval(F.lit(min(window, retention))))
     return d.groupBy(key).agg(F.sum("n").alias("n"), F.count_distinct("day").alias("days")).filter(F.col("days") >= least_days)
 
 
