@@ -201,7 +201,8 @@ def same_place(records: DataFrame, established: int = 5, rare_share: float = 0.0
 
     names = forms.select(*block, "name").distinct()
     entries = names.mapInPandas(index, "loc string, kind string, num string, name string, entry string")
-    near = entries.alias("a").join(entries.alias("b"), [*block, "entry"]).filter("a.name < b.name").select(*block, F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    # index entries meet by sorting: even a few of them would be a large table to build on the driver
+    near = entries.alias("a").join(entries.alias("b").hint("merge"), [*block, "entry"]).filter("a.name < b.name").select(*block, F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
 
     def compare(batches):
         for pdf in batches:
