@@ -51,3 +51,18 @@ def test_sound_and_years(spark):
     assert a == "sfnlf" and c == "tst" and d == "" and e is None and b.startswith("sfnl")
     y = spark.createDataFrame([("2025/2026",), ("2025-26",), ("2025/2027",), ("2099/00",), ("x",), (None,)], "s string")
     assert [r[0] for r in y.select(school_year_start(F.col("s"))).collect()] == [2025, 2025, None, None, None, None]
+
+
+def test_sliced_running_sum_equals_one_pass(spark):
+    from veyra.operators.relational import sliced_running_sum
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(10)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = {r.i: r.run for r in sliced_running_sum(df, ["k"], F.floor(F.col("i") / 17), [F.col("i")], F.col("v"), "run").collect()}
+    total = {}
+    for k, i, v in rows:
+        total[k] = total.get(k, 0) + v
+        assert got[i] == total[k]
+    whole = sliced_running_sum(df, [], F.floor(F.col("i") / 50), [F.col("i")], F.col("v"), "run").agg(F.max("run")).first()[0]
+    assert whole == sum(v for _, _, v in rows)

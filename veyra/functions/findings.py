@@ -1,0 +1,21 @@
+"""A table function over text: each row gives no or many findings."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+_AMOUNT = re.compile(r"([0-9]+(?:,[0-9]{1,2})?) ?(€|EUR|лв)")
+
+
+class AmountFinder:
+    """Currency amounts of a text with the number of their line."""
+
+    def eval(self, text: str):
+        for no, line in enumerate((text or "").split("\n"), 1):
+            for value, currency in _AMOUNT.findall(line):
+                yield no, float(value.replace(",", ".")), currency
+
+
+amounts_table = F.udtf(AmountFinder, returnType="line_no int, amount double, currency string", useArrow=False)
