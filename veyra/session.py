@@ -33,12 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="veyra-stage-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="veyra-stage-"))
+        where = _own_dir[0]
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/veyra-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 _shipped: set[str] = set()
+_own_dir: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -77,9 +86,8 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     consumers without being computed again. The table is removed when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veyra-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veyra.session import shared_dir
+from veyra.session import scratch
 
 
 def open_files(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -24,7 +22,7 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
     Each batch overwrites its own folder, so a batch that is run again after a failure leaves one copy.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/veyra-stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
