@@ -41,6 +41,18 @@ def test_two_common_names_one_letter_apart_differ(spark):
     assert got and all(a % 2 == b % 2 for a, b in got)
 
 
+def test_two_slips_of_one_word_are_one_place_however_often_each_is_made(spark):
+    # the two slips are written about alike often; only the word they are slips of tells that they are none of two names
+    for k in (1, 8):
+        word = [(i, f"ул. Бистришка {i % 200 + 1}", "Градец") for i in range(40 * k)]
+        slips = [(1000 + 2 * i + j, f"ул. {w} {i + 500}", "Градец") for i in range(k) for j, w in enumerate(("Бистрешка", "Бистртшка"))]
+        got = pairs(spark, word + slips)
+        assert {(1000 + 2 * i, 1001 + 2 * i) for i in range(k)} <= got
+    # a slip belongs to the nearest word alone
+    rows = [(i, f"ул. {('Габарска', 'Рибарска')[i % 2]} {i % 50 + 1}", "Градец") for i in range(200)] + [(300, "ул. Габарскк 900", "Градец"), (301, "ул. Рибарскк 900", "Градец")]
+    assert (300, 301) not in pairs(spark, rows)
+
+
 def test_parts():
     assert parse("кв. „Пясъчника“, блок 4 б", "Песелидол")[2:5] == ("estate", "", "4b")
     assert parse("Ул. «Kestenova porta» No98, Humikadevo, 1217 гр. Хумикадево", "Хумикадево")[1:2] == ("1217",)

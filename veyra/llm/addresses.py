@@ -179,12 +179,58 @@ def _keys(name: str) -> list[str]:
     return sorted(out)
 
 
-def same_place(records: DataFrame, established: int = 5, rare_share: float = 0.05) -> DataFrame:
+def origins(words: DataFrame, rare_share: float, evidence: float) -> DataFrame:
+    """(w, n, of) for words (w, n), each once: the words that w can be a slip of, null where there are none.
+
+    A word can be a slip of another within the edits allowed for its length that is written more, unless the counts tell that
+    its share is above ``rare_share``: by a log-likelihood ratio above ``evidence``, so that few occurrences tell little and
+    many leave the share alone to decide. The nearest words that are no slips themselves count, else the nearest ones.
+    """
+
+    def index(batches):
+        for pdf in batches:
+            ks = [sorted(deletions(w, allowed(len(w)))) for w in pdf["w"]]
+            out = pdf.loc[pdf.index.repeat([len(k) for k in ks])].reset_index(drop=True)
+            out["entry"] = [x for k in ks for x in k]
+            yield out
+
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        most = [allowed(max(len(a), len(b))) for a, b in zip(x, y)]
+        return pd.Series([d if (d := edits(a, b, m)) <= m else None for a, b, m in zip(x, y, most)], dtype="Int32")
+
+    p = rare_share / (1 + rare_share)
+    n = F.col("n") + F.col("zn")
+    against = F.col("n") * F.log(F.col("n") / n / p) + F.col("zn") * F.log(F.col("zn") / n / (1 - p))
+    entries = words.filter("not endswith(w, '.')").mapInPandas(index, "w string, n long, entry string")
+    near = entries.join(entries.select("entry", F.col("w").alias("z"), F.col("n").alias("zn")).hint("merge"), "entry")
+    near = near.filter(F.struct("zn", "z") > F.struct("n", "w")).filter((F.col("n") <= rare_share * F.col("zn")) | (against <= evidence)).select("w", "z").distinct()
+    near = stage(near.withColumn("d", apart("w", "z")).filter("d is not null"), "slips")
+    rank = F.struct(F.col("slip").isNotNull().alias("slip"), "d")
+    near = near.join(near.select(F.col("w").alias("z"), F.lit(1).alias("slip")).distinct(), "z", "left").select("w", "z", rank.alias("rank"))
+    of = near.groupBy("w").agg(F.collect_list(F.struct("rank", "z")).alias("all"), F.min("rank").alias("first"))
+    return words.join(of.select("w", F.expr("transform(filter(all, x -> x.rank = first), x -> x.z)").alias("of")), "w", "left")
+
+
+def two_names(slips: DataFrame, words: DataFrame, rare_share: float, evidence: float) -> DataFrame:
+    """The rows of ``slips`` whose words x and y are two names: neither is a slip of the other, nor both of a third one.
+
+    A word that can be a slip of none and is too rare to be told a name may be one of a word not seen; it is no other name
+    than such a word or a slip.
+    """
+    known = origins(words, rare_share, evidence)
+    unseen = F.col("of").isNull() & (F.col("n") * F.log(F.lit((1 + rare_share) / rare_share)) <= evidence)
+    known = stage(known.select("w", F.array_union(F.array("w"), F.coalesce("of", F.array().cast("array<string>"))).alias("of"), unseen.alias("unseen"), F.col("of").isNotNull().alias("slip")), "origins")
+    x, y = (known.select(F.col("w").alias(c), *(F.col(k).alias(c + k) for k in ("of", "unseen", "slip"))) for c in ("x", "y"))
+    loose = F.expr("xunseen and (yunseen or yslip) or yunseen and xslip")
+    return slips.join(x, "x").join(y, "y").filter(~F.arrays_overlap("xof", "yof") & ~loose).select(*slips.columns)
+
+
+def same_place(records: DataFrame, rare_share: float = 0.05, evidence: float = 10.0) -> DataFrame:
     """(a_key, b_key, edits) for ids of ``records`` (id, address, city) whose addresses denote one place.
 
-    Two different words, both written often (at least ``established`` times and ``rare_share`` as often as the other), are two
-    names however near; a rare word is a slip for an often written one within the edits allowed for its length, and two rare
-    words, each perhaps a slip, may be one edit further apart.
+    Two different words are one if one is a slip of the other or both are slips of one word that is written more; what is a slip
+    is told by shares (``rare_share``, ``evidence``: see ``origins``), so a larger table judges by the same rule.
     """
     spark = records.sparkSession
     rec = stage(parsed(records), "places")
@@ -221,16 +267,9 @@ def same_place(records: DataFrame, established: int = 5, rare_share: float = 0.0
     def skeletons(names: pd.Series) -> pd.Series:
         return names.map(lambda n: [skeleton(t) for t in n.split()])
 
-    @F.pandas_udf("boolean")
-    def swapped(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edits(a, b, 1) <= 1 for a, b in zip(x, y)])
-
-    counts = rec.select(F.explode(skeletons("name")).alias("w")).groupBy("w").count()
+    counts = rec.select(F.explode(skeletons("name")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     slips = pairs.select(*block, "a", "b", F.explode(F.arrays_zip("xs", "ys")).alias("z")).select(*block, "a", "b", F.col("z.xs").alias("x"), F.col("z.ys").alias("y"))
-    slips = slips.join(counts.select(F.col("w").alias("x"), F.col("count").alias("nx")), "x").join(counts.select(F.col("w").alias("y"), F.col("count").alias("ny")), "y")
-    often, rare = F.greatest("nx", "ny"), F.least("nx", "ny")
-    far = (F.levenshtein("x", "y") > 1) & ~F.col("x").rlike(".{9}") & ~swapped("x", "y")
-    two = slips.filter((rare >= established) & (rare >= rare_share * often) | far & (often >= established)).select(*block, "a", "b").distinct()
+    two = two_names(slips, counts, rare_share, evidence).select(*block, "a", "b").distinct()
     pairs = pairs.join(two, [*block, "a", "b"], "left_anti").select(*block, "a", "b", F.size("xs").alias("edits"))
 
     # every form goes with itself; forms are expanded to ids at the end
