@@ -2,9 +2,9 @@
 
 Each line goes through the standard library's streaming HTML parser (markdown marks become tags), whose
 events give its ratio of text to tags. Ratios are smoothed along the page with a Gaussian and split in two
-clusters by a threshold; regions above it are content. Cues that need no statistics (a notice about
-cookies, a button, a byline, a table row, a link to a file) fix a line's ratio before smoothing and are
-checked once more afterwards, as a single heading or footer line is too short for any ratio to tell.
+clusters by a threshold. Cues that need no statistics (a notice about cookies, a button, a byline, a table
+row, a link to a file) decide before it: the threshold is asked only for lines without a cue that have no
+line of content beside them and stand in no side column.
 
 Defined results: a null or empty text gives no lines; lines without a letter or digit are never content;
 a page repeated gives its lines once; texts and lines of any length are read whole.
