@@ -1,4 +1,7 @@
-from veyra.llm.addresses import assign, parse, same_place
+import random
+from itertools import permutations
+
+from veyra.llm.addresses import assign, cheapest, parse, same_place
 
 COLS = "id long, address string, city string"
 A = [
@@ -63,3 +66,18 @@ def test_parts():
 def test_empty_and_very_long(spark):
     assert pairs(spark, []) == set()
     assert pairs(spark, [(1, "до парка, " * 20_000 + "ул. Роза 5", "Г"), (2, "ул. Роза 5", "Г")]) == {(1, 2)}
+
+
+def test_assignment_is_the_cheapest_for_any_number_of_tokens():
+    words = "роза липа бреза топола ясен дъб бор кестен върба".split()
+    for n in (2, 6, 7, 9):
+        swapped = [words[1], words[0], *words[2:n]]
+        assert sorted(assign(words[:n], swapped)) == sorted(zip(words[:n], words[:n]))
+        assert assign(words[:n], [*words[1:n], "планина"]) is None
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 5)
+        costs = [[rng.choice([None, 0, 1, 2, 3]) for _ in range(n)] for _ in range(n)]
+        best = min((sum(costs[i][p[i]] for i in range(n)) for p in permutations(range(n)) if all(costs[i][p[i]] is not None for i in range(n))), default=None)
+        got = cheapest(costs)
+        assert (got is None) == (best is None) and (got is None or sorted(got) == list(range(n)) and sum(costs[i][got[i]] for i in range(n)) == best)

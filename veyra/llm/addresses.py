@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,20 +148,56 @@ def within(x: str, y: str) -> int:
     return 2 if n >= 6 else allowed(n)
 
 
+def cheapest(costs: list[list[int | None]]) -> list[int] | None:
+    """For each row of a square table its column in the cheapest one-to-one choice, by shortest augmenting paths; None is forbidden."""
+    n, never = len(costs), 1 << 30
+    up, down, owner = [0] * n, [0] * (n + 1), [-1] * (n + 1)  # column n stands for the row being placed
+    for row in range(n):
+        owner[n], at = row, n
+        best, back, seen = [never] * n, [n] * n, [False] * (n + 1)
+        while owner[at] >= 0:
+            seen[at], r = True, owner[at]
+            for c in range(n):
+                if not seen[c] and costs[r][c] is not None and (d := costs[r][c] - up[r] - down[c]) < best[c]:
+                    best[c], back[c] = d, at
+            to = min((c for c in range(n) if not seen[c]), key=lambda c: best[c], default=n)
+            if to == n or best[to] >= never:
+                return None
+            step = best[to]
+            for c in range(n + 1):
+                if seen[c]:
+                    up[owner[c]] += step
+                    down[c] -= step
+                elif c < n and best[c] < never:
+                    best[c] -= step
+            at = to
+        while at != n:
+            owner[at], at = owner[back[at]], back[at]
+        owner[n] = -1
+    out = [0] * n
+    for c in range(n):
+        out[owner[c]] = c
+    return out
+
+
 def assign(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
-    """The assignment of all tokens of a to all of b with the fewest edits; None where a token has no partner."""
+    """The assignment of all tokens of a to all of b with the fewest edits, whatever their number; None where a token has no partner."""
+    if a == b:
+        return list(zip(a, b))
     if len(a) != len(b):
         joined = ("".join(a), "".join(b))  # words written together
         return [joined] if abs(len(a) - len(b)) == 1 and skeleton(joined[0]) == skeleton(joined[1]) else None
-    if len(a) > 6:
-        return list(zip(a, b)) if all(map(same_token, a, b)) else None
-    best = None
-    for order in permutations(b):
-        if all(map(same_token, a, order)):
-            cost = sum(edits(skeleton(x.rstrip(".")), skeleton(y.rstrip(".")), 9) for x, y in zip(a, order))
-            if best is None or cost < best[0]:
-                best = (cost, list(zip(a, order)))
-    return best[1] if best else None
+    costs = [[token_cost(x, y) for y in b] for x in a]
+    if any(all(c is None for c in row) for row in costs):
+        return None
+    chosen = cheapest(costs)
+    return chosen and [(x, b[c]) for x, c in zip(a, chosen)]
+
+
+@lru_cache(maxsize=200_000)
+def token_cost(a: str, b: str) -> int | None:
+    """Edits between two street tokens that can be one word, else None."""
+    return edits(skeleton(a.rstrip(".")), skeleton(b.rstrip(".")), 9) if same_token(a, b) else None
 
 
 def _keys(name: str) -> list[str]:
