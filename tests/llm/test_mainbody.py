@@ -1,3 +1,5 @@
+import numpy as np
+
 from veyra.llm.mainbody import line_events, main_body, main_lines, threshold
 
 PAGE = """Този сайт използва бисквитки, за да измерваме посещенията. Като продължите, вие се съгласявате с условията.
@@ -32,15 +34,45 @@ def test_page():
     assert main_lines(PAGE) == [11, 13, 15, 17, 18, 19, 20, 21]
 
 
+FOREIGN = """Startseite
+Über uns
+Kindergarten Sonnenhügel
+Unsere Gruppen im neuen Jahr
+Die Gruppe der Bären bekommt im Herbst einen neuen Raum mit Blick auf den Garten, in dem auch gemalt und gebastelt wird.
+Anmeldungen sind bis Ende März im Büro möglich, und wer ein Geschwisterkind hat, bringt bitte die Bescheinigung mit.
+- feste Schuhe
+Das Mittagessen wird in der eigenen Küche gekocht und kostet im Monat so viel wie im letzten Jahr auch schon.
+Wald
+Spielplatz
+Termine
+Fotos
+Impressum"""
+
+
+def test_the_smoothed_ratio_decides_where_no_word_is_known():
+    assert main_lines(FOREIGN) == [4, 5, 6, 7, 8]  # the heading right above goes with its text
+    assert len(main_lines(FOREIGN, cut=-1.0)) == 13 and main_lines(FOREIGN, cut=1.01) == []  # the threshold switched off, and above all
+    assert main_lines(PAGE, cut=-1.0) != main_lines(PAGE) != main_lines(PAGE, cut=0.95)
+
+
+def test_a_page_of_text_alone_is_kept_whole():
+    assert main_lines("\n".join(FOREIGN.split("\n")[4:6])) == [1, 2]
+
+
 def test_nothing_to_keep():
     assert main_lines("") == [] and main_lines("---\n\n* * *") == []
-    assert line_events("---")[0] == "blank"
-    assert threshold(__import__("numpy").array([1.0, 1.0])) == 1.0
+    assert main_lines("Меню\nНачало\nСподели с приятели") == []
+    assert threshold(np.array([1.0, 1.0]), 0.4) == 1.0
+
+
+def test_marks():
+    assert line_events("* Автор: екипът").cue == "insert" and line_events("Вижте още").cue == "side" and line_events("Цените за… (1.02.2026)").cue == "listing"
+    assert line_events("[Документ 1](/files/a.pdf)").data and line_events("| рисуване | 20,50 € |").data and line_events("## Прием").head
 
 
 def test_table(spark):
     cols = "page_id long, raw_markdown string, line_no int, text string"
     df = spark.createDataFrame([(1, PAGE, 9, "q"), (1, PAGE, 9, "q"), (2, None, 1, None), (None, PAGE, 1, None), (3, "", 1, ""), (4, "дълъг ред с много думи, " * 20_000 + "край.", 1, "")], cols)
     got = [(r.page_id, r.line_no) for r in main_body(df).collect()]
-    assert len(got) == len(set(got)) == 9 and (4, 1) in got
+    assert len(got) == len(set(got)) == len(main_lines(PAGE)) + 1 and (4, 1) in got
     assert main_body(spark.createDataFrame([], cols)).count() == 0

@@ -1,10 +1,11 @@
 """The main body of web pages kept as markdown, apart from the furniture of their sites.
 
 Each line goes through the standard library's streaming HTML parser (markdown marks become tags), whose
-events give its ratio of text to tags. Ratios are smoothed along the page with a Gaussian and split in two
-clusters by a threshold. Cues that need no statistics (a notice about cookies, a button, a byline, a table
-row, a link to a file) decide before it: the threshold is asked only for lines without a cue that have no
-line of content beside them and stand in no side column.
+events give its ratio of text to tags, its share of link text, and whether it is a heading, a table row or a file. A side
+column's head, an open sentence or a listing's date change what the ratio counts for. The ratios are smoothed along the page
+with a Gaussian, and a threshold between their two clusters selects the regions of content: it decides every line. An exact
+check then takes out of those regions the lines that common words of furniture name (notices about cookies, share prompts,
+bylines, counters); such a line inside a text doesn't part it in two.
 
 Defined results: a null or empty text gives no lines; lines without a letter or digit are never content;
 a page repeated gives its lines once; texts and lines of any length are read whole.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,6 @@ NAVIGATION = (
 )
 ASIDE_HEADS = r"вижте още|виж още|последни новини|предстоящи събития|най-четени|категории|архив|полезни връзки|see also|latest news|coming up|upcoming events|most read|categories|archive|useful links|related"
 LANGUAGES = r"(?:bg|en|de|ru|fr|tr|mk|es)(?:[\s|/]+(?:bg|en|de|ru|fr|tr|mk|es))+"
-SITE_TITLES = [
-    r"(?:детска градина|детска ясла|(?:основно|начално|средно) училище|дг|дя|оу|ну|су)\s+(?:№\s*)?\d*\s*[„\"«“][^„\"«“”»]+[“”\"»]",
-    r"(?:the )?[^\s,:()0-9]+(?: [^\s,:()0-9]+)? (?:kindergarten|nursery|(?:primary|elementary|secondary) school)",
-    r"(?:градски |детски )?портал(?: за родители)?|(?:city )?portal for parents|(?:city )?parents'? portal",
-]
 INSERTED = [
     r"^(?:публикувано|добавено) от |^автор:|^текст и снимки:|^материалът е подготвен от|^posted by |^by the (?:editors|team) of|^words and pictures:|^written by ",
     r"^прочетено \d+ пъти|^видяно \d+ пъти|^read \d+ times|^\d+ (?:views|преглеждания)",
@@ -49,25 +46,17 @@ FURNITURE = [
     r"^работно време:|^office hours:",
     r"^политика за поверителност|^privacy policy",
 ]
-TEASERS = [
-    r"\[(?:прочети|виж|read|see) (?:повече|още|more)[^\]]*\]",
-    r"\(\d{1,2}\.\d{1,2}\.\d{4}\)\W*$",
-    r"^ден на .+ в [^,.]+$|^a day of .+ in [^,.]+$",
-    r"^снимки: |^pictures: |^photos: ",
-    r"^конкурс за .+: резултати за |^contest in .+: results for ",
-    r"^пет съвета за |^five tips on ",
-    r"^как избрахме |^why .+ chose ",
-    r" отново с награда(?:, \S+)?$| wins again(?:, \S+)?$",
-    r"…, [^,.…]+$",
-]
+# Fixed value: how a listing breaks an entry off or dates it.
+LISTED = r"\[(?:прочет\w*|виж\w*|read|see|continue)\b[^\]]*\]|(?:…|\.\.\.)\s*(?:\([^)]*\)|,[^,.…]*)?\W*$|\(\d{1,2}[./]\d{1,2}[./]\d{4}\)\W*$"
 _BUTTON = re.compile(rf"(?:(?:{BUTTONS})[\s|/,]*)+")
 _NAV = re.compile(rf"(?:{NAVIGATION})")
 _ASIDE = re.compile(rf"(?:{ASIDE_HEADS})")
-_TITLE, _LANGS = re.compile("|".join(f"(?:{t})" for t in SITE_TITLES)), re.compile(LANGUAGES)
-_COOKIES, _FURN, _INSERT, _TEASE = (re.compile(p) for p in (COOKIES, "|".join(FURNITURE), "|".join(INSERTED), "|".join(TEASERS)))
+_COOKIES, _FURN, _INSERT, _LISTED, _LANGS = (re.compile(p, re.I) for p in (COOKIES, "|".join(FURNITURE), "|".join(INSERTED), LISTED, LANGUAGES))
 _FILE = re.compile(r"\.(?:pdf|docx?|xlsx?|odt|ods|pptx?|zip|rtf)(?:[?#]|$)", re.I)
 _LINK = re.compile(r"(!?)\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 _CONTACT = re.compile(r"^[\d\s+/()-]{6,}\|\s*\S+@\S+$|^\S+@\S+\s*\|\s*[\d\s+/()-]{6,}$")
+_FIELD = re.compile(r"^[^:|.!?]{2,30}:\s.*\d|\|.*\d|\d.*\|")
+_ITEM = re.compile(r"\s*[*•-]\s")
 _MARK = re.compile(r"^[\s>*•·_#-]+|[\s*_»…↑▲]+$|\s+\.$")
 _HAS = re.compile(r"[^\W_]")
 
@@ -104,7 +93,7 @@ class Events(HTMLParser):
 
 
 def _markup(line: str) -> str:
-    """A markdown line with its links, images, list and heading marks as tags; other text escaped."""
+    """A markdown line with its links, images, cells and bold marks as tags; other text escaped."""
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
     out, at = [], 0
     for m in _LINK.finditer(line):
@@ -112,13 +101,21 @@ def _markup(line: str) -> str:
         out.append(f'<img alt="{esc(m[2])}">' if m[1] else f'<a href="{esc(m[3])}">{esc(m[2])}</a>')
         at = m.end()
     out.append(esc(line[at:]))
-    body = "".join(out)
-    head = line.lstrip()
-    if head.startswith(("* ", "- ", "• ")):
-        body = f"<li>{body}</li>"
-    return body
+    # the mark of a list's entry is no tag of its text
+    return re.sub(r"\s\|\s", "<td>", re.sub(r"\*\*", "<b>", "".join(out)))
+
+
+class Line(NamedTuple):
+    """What one line tells by itself."""
+
+    ratio: float  # text to tags
+    cue: str  # what furniture its words name: FURNITURE_LINE, INSERT, SIDE, LISTING, or none
+    head: bool
+    data: bool  # a table row, a field with a figure, or a file
+    sentence: bool
+
 
-HEAD, FURNISHED, INSERT, ASIDE, TEASER, CONTENT, OPEN, BLANK = "head", "furnished", "insert", "aside", "teaser", "content", "open", "blank"
+FURNITURE_LINE, INSERT, SIDE, LISTING = "furniture", "insert", "side", "listing"
 
 
 def _bare(line: str) -> str:
@@ -130,52 +127,35 @@ def _bare(line: str) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def line_events(line: str) -> tuple[str, float]:
-    """(kind, ratio of text to tags) of one line by itself."""
-    if not _HAS.search(line):
-        return BLANK, 0.0
+def line_events(line: str) -> Line:
+    """The events of a line with a letter or digit."""
     p = Events()
     p.feed(_markup(line))
     p.close()
-    bare = _bare(line)
-    ratio = (p.text + p.files) / (1 + p.tags)
-    if "![" in line and not _HAS.search(_LINK.sub("", line)):
-        return FURNISHED, 0.0  # an image alone
-    if _COOKIES.search(bare) and len(bare) > 30 or _BUTTON.fullmatch(bare) or _FURN.search(bare) or _CONTACT.search(bare):
-        return FURNISHED, 0.0
-    if _INSERT.search(bare):
-        return INSERT, 0.0  # stands inside the main body without belonging to it
-    if _TITLE.fullmatch(bare) or _LANGS.fullmatch(bare):
-        return FURNISHED, 0.0
-    if _ASIDE.fullmatch(bare):
-        return ASIDE, 0.0
-    if _TEASE.search(bare) or _TEASE.search(line.strip().lower()):
-        return TEASER, 0.0
-    if p.files:
-        return CONTENT, max(ratio, 60.0)
-    row = line.strip().startswith("|") and bare.count("|") >= 1
+    bare, shown = _bare(line), line.rstrip(" *_")
+    row = line.strip().startswith("|") and "|" in bare
     parts = [x.strip() for x in re.split(r"\s*[|/>›»]\s*", bare.strip("|")) if x.strip()]
-    if not row and len(parts) >= 2 and all(len(x) < 40 for x in parts) and (_NAV.fullmatch(parts[0]) or _NAV.match(parts[0]) and len(parts) > 2):
-        return FURNISHED, 0.0  # a menu in one line, a choice of languages, crumbs
-    if p.linked and not p.text or p.linked > 2 * p.text and not row:
-        return FURNISHED, 0.0
-    if _NAV.fullmatch(bare):
-        return FURNISHED, 0.0
-    if row or "|" in bare and re.search(r"\d", bare):
-        return CONTENT, max(ratio, 60.0)
-    if len(bare) > 40 and line.rstrip(" *_").endswith("…"):
-        return TEASER, 0.0  # a sentence broken off stands for another page
-    if re.match(r"\s*#{1,6}\s", line):
-        return HEAD, max(ratio, 60.0)
-    if re.search(r"[.!?:;]$", line.rstrip(" *_").removesuffix(" .")) and len(bare) > 45 or len(bare) > 120:
-        return CONTENT, max(ratio, 60.0)
-    if re.search(r"\d", bare) and len(bare) > 12:
-        return CONTENT, max(ratio, 40.0)
-    return OPEN, ratio
-
-
-def threshold(x: np.ndarray) -> float:
-    """Between the two clusters of the values (2-means from both ends)."""
+    ratio, cue = (p.text + p.files) / (1 + p.tags), ""
+    if "![" in line and not _HAS.search(_LINK.sub("", line)):
+        cue = FURNITURE_LINE  # an image alone
+    elif _COOKIES.search(bare) and len(bare) > 30 or _BUTTON.fullmatch(bare) or _FURN.search(bare) or _CONTACT.search(bare) or _LANGS.fullmatch(bare) or _NAV.fullmatch(bare):
+        cue = FURNITURE_LINE
+    elif _INSERT.search(bare):
+        cue = INSERT
+    elif _ASIDE.fullmatch(bare):
+        cue = SIDE
+    elif _LISTED.search(shown):
+        cue = LISTING
+    elif not row and len(parts) >= 2 and all(len(x) < 40 for x in parts) and (_NAV.fullmatch(parts[0]) or _LANGS.fullmatch(parts[0]) or _NAV.match(parts[0]) and len(parts) > 2):
+        cue = FURNITURE_LINE  # a menu in one line, a choice of languages, crumbs
+    elif not p.files and p.linked > 2 * p.text and not row:
+        cue = FURNITURE_LINE  # links with little beside them
+    data = row or bool(p.files or _FIELD.search(bare))
+    return Line(ratio, cue, bool(re.match(r"\s*#{1,6}\s", line)), data, ratio > 90 or ratio > 45 and shown.endswith((".", "!", "?")))
+
+
+def threshold(x: np.ndarray, cut: float) -> float:
+    """Between the centres of the two clusters of the values (2-means from both ends), at the share ``cut`` of the way."""
     lo, hi = float(x.min()), float(x.max())
     for _ in range(30):
         t = (lo + hi) / 2
@@ -186,44 +166,49 @@ def threshold(x: np.ndarray) -> float:
         if new == (lo, hi):
             break
         lo, hi = new
-    return (lo + hi) / 2
+    return lo + cut * (hi - lo)
+
+
+def densities(lines: list[str], found: list[Line], cap: float = 150.0, marked: float = 80.0) -> np.ndarray:
+    """What each line counts for before smoothing: its ratio up to ``cap``; headings and data at least ``marked``; furniture and side columns nothing.
+
+    A side column lasts from its head to a line that only a text has: a sentence, data, or a heading with no furniture right below.
+    """
+    solid = [not x.cue and (x.data or x.sentence) for x in found]
+    out, side = np.zeros(len(found)), False
+    for j, x in enumerate(found):
+        below = next((y.cue for y in found[j + 1 :] if y.cue != INSERT), FURNITURE_LINE)
+        heads = not x.cue and x.head and below not in (FURNITURE_LINE, SIDE)
+        if x.cue == SIDE:
+            side = True
+        elif heads or solid[j]:
+            side = False
+        before_text = not x.cue and j + 1 < len(found) and solid[j + 1] and not _ITEM.match(lines[j])
+        if x.cue or side and not before_text:
+            continue
+        out[j] = max(min(x.ratio, cap), marked if heads or x.data else 0.0)
+    return out
 
 
-def main_lines(text: str, sigma: float = 1.0) -> list[int]:
+def main_lines(text: str, sigma: float = 1.0, cut: float = 0.4) -> list[int]:
     """Numbers of the lines of a page's main body."""
     lines = text.split("\n")
     numbers = [i for i, line in enumerate(lines, 1) if _HAS.search(line)]
     if not numbers:
         return []
-    found = [line_events(lines[i - 1]) for i in numbers]
-    kinds, r = [k for k, _ in found], np.log1p(np.array([v for _, v in found]))
+    lines = [lines[i - 1] for i in numbers]
+    found = [line_events(line) for line in lines]
+    # a byline or counter inside a text takes no part in the curve
+    at = [j for j, x in enumerate(found) if x.cue != INSERT]
+    if not at:
+        return []
+    r = densities(lines, found)[at]
     w = int(3 * sigma) + 1
     g = np.exp(-0.5 * (np.arange(-w, w + 1) / sigma) ** 2)
-    full = np.convolve(np.pad(r, w), g, mode="valid") / np.convolve(np.pad(np.ones(len(r)), w), g, mode="valid")
-    content = full > threshold(full)
-    out, aside = [], False
-    solid = (CONTENT, HEAD)
-    rest = [(j, k) for j, k in enumerate(kinds) if k != INSERT]
-    at = {j: p for p, (j, _) in enumerate(rest)}
-    for j, (i, kind) in enumerate(zip(numbers, kinds)):
-        if kind == ASIDE:
-            aside = True
-        elif kind in solid:
-            aside = False
-        keep = kind in solid
-        if kind == OPEN:
-            p = at[j]
-            before = rest[p - 1][1] if p else FURNISHED
-            after = rest[p + 1][1] if p + 1 < len(rest) else FURNISHED
-            if aside:
-                # a heading ends the side column it follows; a teaser doesn't
-                keep = after in solid and not lines[i - 1].rstrip(" *_").endswith("…")
-                aside = not keep
-            else:
-                keep = before in solid or after in solid or bool(content[j])
-        if keep:
-            out.append(i)
-    return out
+    curve = np.convolve(np.pad(r, w), g, mode="valid") / np.convolve(np.pad(np.ones(len(r)), w), g, mode="valid")
+    # a page of one region has no second cluster: then what counts at all is content
+    keep = curve > (threshold(curve, cut) if curve.max() > 2 * curve.min() else 0.0)
+    return [numbers[j] for j, k in zip(at, keep) if k and not found[j].cue]
 
 
 def main_body(pages: DataFrame, id_col: str = "page_id", text: str = "raw_markdown") -> DataFrame:
