@@ -1,4 +1,4 @@
-from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+from veyra.llm.canonical import fee_values, known_aliases, map_to_list
 
 VALUES = "table_name string, row_id long, field string, value string"
 ENTRIES = "entry_code string, field string, name_en string, name_bg string, other_names array<string>, value string"
@@ -15,7 +15,7 @@ LIST = [
 
 def run(spark, values, entries=LIST, **kw):
     rows = [("t", i, f, v) for i, (f, v) in enumerate(values)]
-    out = map_to_list(spark.createDataFrame(rows, VALUES), spark.createDataFrame(entries, ENTRIES), aliases=FEE_ALIASES, **kw)
+    out = map_to_list(spark.createDataFrame(rows, VALUES), spark.createDataFrame(entries, ENTRIES), aliases=known_aliases(), **kw)
     return {r.row_id: r.entry_code for r in out.collect()}
 
 
@@ -44,6 +44,15 @@ def test_empty_list_and_a_list_read_in_parts(spark):
     assert run(spark, [c[:2] for c in CASES], most_entries=2) == {i: c[2] for i, c in enumerate(CASES)}
 
 
+def test_the_number_of_parts_changes_nothing(spark):
+    entries = [("A", "category", "school bus", None, None, ""), ("B", "category", "bus", None, None, ""), ("C", "category", "fee", None, None, ""), ("D", "category", "lunch menu", None, None, ""), ("E", "category", "menu card", None, None, "")]
+    values = [("category", v) for v in ("school bus fee", "bus fee", "lunch menu card", "scool buss", "menu lunhc", "shcool", "fees bus")]
+    want = run(spark, values, entries)
+    assert want[0] == "A" and want[1] == "B" and want[2] == "D"
+    for n in (1, 2, 3):
+        assert run(spark, values, entries, most_entries=n) == want
+
+
 def test_fee_values_reads_three_columns(spark):
     a = spark.createDataFrame([(1, "a", "b", "z")], "fee_id long, category string, period string, value string")
     b = spark.createDataFrame([(2, "c", "z")], "line_id long, label string, field string")

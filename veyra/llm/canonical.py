@@ -1,8 +1,8 @@
 """Values typed freely, mapped to the entries of a reference list.
 
 An automaton over the tokens of all names and aliases finds those that a value holds; the longest
-matches that don't overlap win. What holds none goes to token-set similarity, which forgives typing errors,
-another order of words and words besides. Each different value is looked at once.
+mention wins. What holds none goes to token-set similarity, which forgives typing errors, another order of words and words
+besides; an index of the tokens' deletion neighbourhoods meets only names that share a token. Each different value is looked at once.
 
 Defined results: null and blank values (no letter or digit counts as blank only where nothing but white
 space is there) give no row; a value that names entries of equal weight goes to the smaller code; rows
@@ -11,64 +11,24 @@ that repeat with the same value give one row; an empty list makes everything ``u
 
 from __future__ import annotations
 
+import json
 import math
+import os
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veyra.llm.text import allowed, edits, latin, skeleton, tokens
+from veyra.llm.text import allowed, deletions, edits, latin, skeleton, tokens
 from veyra.session import parallelism
 
-# Further names in common use for entries of a list of school fees, by the entry's own English name.
-FEE_ALIASES = {
-    "tuition": ["tuition fee", "такса за обучение", "обучение"],
-    "food": ["храна", "такса храна", "хранене в стола"],
-    "transport": ["превоз", "училищен автобус"],
-    "activities": ["ателиета", "activity"],
-    "registration": ["регистрация", "такса записване", "enrollment"],
-    "materials": ["помагала", "learning materials"],
-    "extended day": ["полуинтернатна група", "after school care"],
-    "uniforms": ["school uniform", "ученическо облекло"],
-    "extracurricular": ["clubs", "extracurricular club", "кръжок"],
-    "camp": ["camp fee", "зелено училище"],
-    "deposit": ["капаро", "refundable deposit"],
-    "insurance": ["застрахователна премия"],
-    "monthly": ["p.m.", "всеки месец", "месечна такса", "месечна"],
-    "yearly": ["p.a.", "annually", "annual", "per annum", "за учебната година", "годишна такса"],
-    "one time": ["еднократна такса", "single payment"],
-    "quarter": ["тримесечно", "per quarter", "тримесечна такса"],
-    "term": ["termly", "за един срок"],
-    "semester": ["семестриално"],
-    "daily": ["дневна такса"],
-    "weekly": ["седмична такса"],
-    "hourly": ["за астрономически час", "почасова такса"],
-    "full-day care": ["full day programme"],
-    "half-day care": ["half day programme"],
-    "lunch": ["обедно меню"],
-    "breakfast and snack": ["сутрешна закуска", "закуска"],
-    "school bus one way": ["транспорт в едната посока", "транспорт в една посока"],
-    "school bus both ways": ["транспорт двете посоки", "транспорт в двете посоки"],
-    "enrolment deposit": ["гаранция при записване"],
-    "entrance test": ["admission test"],
-    "textbooks": ["учебници и тетрадки"],
-    "uniform set": ["училищна униформа"],
-    "English course": ["уроци по английски"],
-    "swimming": ["уроци по плуване"],
-    "music lessons": ["music school"],
-    "late pick-up": ["закъснение при взимане"],
-    "chess club": ["школа по шахмат"],
-    "football club": ["футболна школа", "футбол"],
-}
-
-
 # Words around a name that don't alter it, such as whose price it is.
 BESIDES = {"цена", "цени", "ценоразпис", "такса", "такси", "за", "дете", "деца", "клас", "кл", "група", "гр", "а", "б", "в", "г", "год", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "price", "fee", "fees", "per", "for", "child", "class", "grade", "group"}
 
 
 class Lexicon:
-    """Names of one field: an automaton for exact mentions and token sets for the rest."""
+    """Names of one field: an automaton for exact mentions, and an index of tokens for the rest."""
 
     def __init__(self, names: list[tuple[str, str]]):
         self.forms: dict[tuple[str, ...], str] = {}
@@ -78,74 +38,88 @@ class Lexicon:
                 if form:
                     self.forms.setdefault(form, code)
         self.auto = ahocorasick.Automaton()
+        self.holders: dict[str, list[tuple[str, ...]]] = {}  # token -> names that hold it
+        self.index: dict[str, set[str]] = {}  # deletion key -> tokens
         for form in self.forms:
             self.auto.add_word(f" {' '.join(form)} ", form)
+            for w in set(form):
+                self.holders.setdefault(w, []).append(form)
+        for w in self.holders:
+            for key in deletions(w, allowed(len(w))) | deletions(skeleton(w), allowed(len(w))):
+                self.index.setdefault(key, set()).add(w)
+        self.longest = max(map(len, self.holders), default=0)
+        self.held: dict[str, dict[str, int]] = {}
         if self.forms:
             self.auto.make_automaton()
-        self.sets = sorted(self.forms.items(), key=lambda x: (-sum(map(len, x[0])), x[1], x[0]))
 
-    def mentions(self, toks: list[str]) -> list[tuple[str, int]]:
-        """(code, letters) of the longest mentions that don't overlap; of equal ones the earlier."""
+    def mention(self, toks: list[str]) -> tuple[str, int] | None:
+        """(code, length) of the longest mention, which no other one can overlap and win; of equal ones the smaller code."""
         if not self.forms:
-            return []
-        text = f" {' '.join(toks)} "
-        found = [(len(f" {' '.join(form)} ") - 2, end, form) for end, form in self.auto.iter(text)]
-        taken, out = [], []
-        for n, end, form in sorted(found, key=lambda x: (-x[0], x[1])):
-            lo, hi = end - n, end - 1
-            if all(hi < a or lo > b for a, b in taken):
-                taken.append((lo, hi))
-                out.append((self.forms[form], sum(map(len, form))))
-        return out
-
-    def similar(self, toks: list[str], least: float = 0.7) -> tuple[str, float] | None:
-        """(code, similarity) of the name whose every token the value holds, give or take edits.
-
-        Tokens are compared as typed and by skeleton, whichever is nearer. Similarity is the share of the
-        name's letters in those of both; words that only go beside a name don't count. Most letters win, then fewest edits.
+            return None
+        found = [(-len(form) - sum(map(len, form)), self.forms[form]) for _, form in self.auto.iter(f" {' '.join(toks)} ")]
+        return (min(found)[1], -min(found)[0]) if found else None
+
+    def near(self, v: str) -> dict[str, int]:
+        """Tokens of names that the token can be, with the edits between them, as typed or by skeleton."""
+        got = self.held.get(v)
+        if got is None:
+            if len(self.held) > 200_000:
+                self.held.clear()
+            got = {}
+            if len(v) <= self.longest + 2:
+                most = 2 if len(v) >= 7 else 1 if len(v) >= 3 else 0
+                keys = deletions(v, most) | deletions(skeleton(v), most)
+                for w in {w for k in keys for w in self.index.get(k, ())}:
+                    n = allowed(len(w))
+                    d = min(edits(w, v, n), edits(skeleton(w), skeleton(v), n))
+                    if d <= n:
+                        got[w] = d
+            self.held[v] = got
+        return got
+
+    def similar(self, toks: list[str], least: float = 0.7) -> tuple[str, float, tuple[int, int]] | None:
+        """(code, similarity, rank) of the name whose every token the value holds, give or take edits.
+
+        Similarity is the share of the name's letters in those of both; words that only go beside a name don't count. Most letters
+        win, then fewest edits, then the smaller code.
         """
+        near = {v: self.near(v) for v in set(toks)}
         best = None
-        for form, code in self.sets:
+        for form in {f for got in near.values() for w in got for f in self.holders[w]}:
             left, wrong = list(toks), 0
             for w in form:
-                most = allowed(len(w))
-                d, v = min(((min(edits(w, v, most), edits(skeleton(w), skeleton(v), most)), v) for v in left), default=(most + 1, ""))
-                if d > most:
+                d, v = min(((near[v][w], v) for v in left if w in near[v]), default=(None, ""))
+                if d is None:
                     break
                 wrong += d
                 left.remove(v)
             else:
                 n = sum(map(len, form))
                 share = n / max(1, n + sum(len(v) for v in left if v not in BESIDES and not v.isdigit()))
-                if share >= least and (best is None or (n - 2 * wrong, -wrong) > best[0]):
-                    best = ((n - 2 * wrong, -wrong), code, share)
-        return best[1:] if best else None
+                key = (2 * wrong - n, wrong, self.forms[form])
+                if share >= least and (best is None or key < best[0]):
+                    best = (key, share)
+        return (best[0][2], best[1], (-best[0][0], -best[0][1])) if best else None
 
-    def match(self, value: str) -> tuple[str, float]:
-        """(code or ``unmatched``, similarity)."""
+    def match(self, value: str) -> tuple[str, float, int, int, int]:
+        """(code or ``unmatched``, similarity, rank): mentions before similar names, then as these rank."""
         toks = tokens(value)
-        if not toks:
-            return "unmatched", 0.0
-        found = self.mentions(toks)
+        found = self.mention(toks)
         if found:
-            by: dict[str, int] = {}
-            for code, n in found:
-                by[code] = max(by.get(code, 0), n)
-            code = min(by, key=lambda c: (-by[c], c))
-            return code, 1.0
+            return found[0], 1.0, 2, found[1], 0
         hit = self.similar(toks)
-        return hit if hit else ("unmatched", 0.0)
+        return (hit[0], hit[1], 1, *hit[2]) if hit else ("unmatched", 0.0, 0, 0, 0)
 
 
 def map_to_list(values: DataFrame, entries: DataFrame, code: str = "entry_code", field: str = "field", names: tuple[str, ...] = ("name_en", "name_bg"), lists: tuple[str, ...] = ("other_names",), aliases: dict[str, list[str]] | None = None, most_entries: int = 50_000) -> DataFrame:
     """(table_name, row_id, field, entry_code) for each value that isn't null or blank.
 
-    ``values`` has (table_name, row_id, field, value). The list is read by the driver in parts of at most
-    ``most_entries`` entries; with several parts each value takes the best of all parts.
+    ``values`` has (table_name, row_id, field, value). The list is read by the driver in parts of at most ``most_entries`` entries;
+    with several parts each value takes the best of all parts by the ranking that holds within one.
     """
     ref = entries.filter(F.col(code).isNotNull() & F.col(field).isNotNull()).select(code, field, *names, *lists)
     parts = max(1, math.ceil(ref.count() / most_entries))
-    vals = values.filter(F.col("value").isNotNull() & F.col("row_id").isNotNull() & F.col("value").rlike(r"[^\s ]"))
+    vals = values.filter(F.col("value").isNotNull() & F.col("row_id").isNotNull() & F.col("value").rlike(r"[^\s\x{a0}]"))
     different = vals.select("field", "value").distinct().repartition(parallelism(values.sparkSession))
     picked = None
     for k in range(parts):
@@ -163,16 +137,22 @@ def map_to_list(values: DataFrame, entries: DataFrame, code: str = "entry_code",
                 for f, v in zip(pdf["field"], pdf["value"]):
                     if f not in lexicons:
                         lexicons[f] = Lexicon(by.get(f, []))
-                    out.append(lexicons[f].match(v))
-                yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "entry_code": [o[0] for o in out], "score": [float(o[1]) for o in out]})
+                    out.append((f, v, *lexicons[f].match(v)))
+                yield pd.DataFrame(out, columns=["field", "value", "entry_code", "score", "how", "size", "wrong"])
 
-        one = different.mapInPandas(look, "field string, value string, entry_code string, score double")
+        one = different.mapInPandas(look, "field string, value string, entry_code string, score double, how long, size long, wrong long")
         picked = one if picked is None else picked.unionByName(one)
     if parts > 1:
-        picked = picked.groupBy("field", "value").agg(F.max_by("entry_code", F.struct("score", "entry_code")).alias("entry_code"))
+        picked = picked.groupBy("field", "value").agg(F.min_by("entry_code", F.struct(-F.col("how"), -F.col("size"), -F.col("wrong"), "entry_code")).alias("entry_code"))
     return vals.join(picked.select("field", "value", "entry_code"), ["field", "value"]).select("table_name", "row_id", "field", "entry_code").distinct()
 
 
+def known_aliases(path: str = os.path.join(os.path.dirname(__file__), "fee_aliases.json")) -> dict[str, list[str]]:
+    """A reference table of further names by an entry's own name."""
+    with open(path, encoding="utf-8") as f:
+        return {r["name"]: r["also"] for r in json.load(f)}
+
+
 def fee_values(missed: DataFrame, lines: DataFrame) -> DataFrame:
     """The freely typed values of both fee tables as (table_name, row_id, field, value)."""
     a = missed.select(F.lit("missed_fees").alias("table_name"), F.col("fee_id").cast("long").alias("row_id"), F.expr("stack(2, 'category', category, 'period', period) as (field, value)"))

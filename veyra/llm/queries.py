@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veyra.llm.addresses import same_place
-from veyra.llm.canonical import FEE_ALIASES, fee_values, map_to_list
+from veyra.llm.canonical import fee_values, known_aliases, map_to_list
 from veyra.llm.entities import institution_records, same_institution
 from veyra.llm.language import found_languages, languages
 from veyra.llm.mainbody import main_body
@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
-    return map_to_list(fee_values(read("missed_fees"), read("fee_lines")), read("fee_vocab"), aliases=FEE_ALIASES)
+    return map_to_list(fee_values(read("missed_fees"), read("fee_lines")), read("fee_vocab"), aliases=known_aliases())
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
