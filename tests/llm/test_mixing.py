@@ -1,9 +1,8 @@
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veyra.llm.mixing import mix, mix_report, mix_size, split_quotas
+from veyra.llm.mixing import SplitTree, mix, mix_report, mix_size, permuted
 
 DOCS = "doc_id long, source string, tokens long, shard string"
 TARGETS = "source string, target_share double, max_repeats int, tokens string"
@@ -12,11 +11,29 @@ TARGETS = "source string, target_share double, max_repeats int, tokens string"
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 200), min_size=1, max_size=6), st.integers(1, 17), st.integers(0, 99))
 def test_splitting_tree_is_exact(blocks, shards, seed):
-    q = split_quotas(blocks, shards, np.random.default_rng(seed))
+    q = SplitTree(blocks, shards, seed).quotas()
     assert q.sum(0).tolist() == blocks and (q >= 0).all()
     assert q.sum(1).max() - q.sum(1).min() <= shards.bit_length() + 1
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=4), st.integers(1, 9), st.integers(0, 99))
+def test_blocks_walk_down_to_the_quotas(blocks, shards, seed):
+    tree = SplitTree(blocks, shards, seed, held=seed)  # whatever is held of it
+    want = SplitTree(blocks, shards, seed).quotas()
+    for j, n in enumerate(blocks):
+        assert sorted(permuted(i, n, seed) for i in range(n)) == list(range(n))
+        at = [tree.shard(j, permuted(i, n, seed)) for i in range(n)]
+        assert [at.count(k) for k in range(shards)] == want[:, j].tolist()
+
+
+def test_shards_stay_even_however_many_there_are():
+    blocks, shards = [40_000_000, 20_000_000, 4_000_000], 1_000_000
+    tree = SplitTree(blocks, shards, 3)
+    at = [tree.shard(0, permuted(i, blocks[0], 1)) for i in range(0, blocks[0], 80_000)]
+    assert len(set(at)) > 480 and max(at) > 990_000 and min(at) < 10_000
+
+
 def make(spark, extra=()):
     rows = [(i, "a", 10 + i % 90, "x") for i in range(600)] + [(1000 + i, "b", 5 + i % 40, "x") for i in range(120)] + [(2000 + i, "c", 20, "x") for i in range(30)] + [(3000, "other", 50, "x"), (3001, None, 5, "x"), (3002, "a", None, "x"), (3003, "a", 0, "x"), (None, "a", 9, "x")]
     return spark.createDataFrame(rows + list(extra), DOCS)
