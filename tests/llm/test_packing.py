@@ -36,7 +36,7 @@ def test_plan_holds_every_item_once(counts):
 
 def test_pieces_capacity_and_hot_size(spark):
     rows = [(i, 7, 0, "x") for i in range(300)] + [(1000 + i, 1 + i * 37 % 250, 0, "x") for i in range(200)] + [(2000, 0, 0, "x"), (2001, None, 0, "x"), (2002, 300, 0, "x"), (2002, 300, 0, "x"), (None, 5, 0, "x")]
-    out = pack(spark.createDataFrame(rows, SIZES), spark.createDataFrame([("s", 100, 1), ("b", 1000, 1), ("z", 0, 1), (None, 5, 1)], PACKS), salts=4).collect()
+    out = pack(spark.createDataFrame(rows, SIZES), spark.createDataFrame([("s", 100, 1), ("b", 1000, 1), ("z", 0, 1), (None, 5, 1)], PACKS), part_docs=80).collect()
     for code, cap in (("s", 100), ("b", 1000)):
         mine = [r for r in out if r.pack_code == code]
         fill, pieces = defaultdict(int), defaultdict(list)

@@ -13,6 +13,7 @@ if their sizes differ; an empty table gives an empty result; null or non-positiv
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -135,9 +136,11 @@ class Plan:
         return {s: np.array(r, dtype=np.int64) for s, r in self.runs.items()}
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, salts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, part_docs: int = 200_000) -> DataFrame:
     """(pack_code, container_no, doc_id, piece_no, first_token, tokens) for ``sizes`` (doc_id, tokens) and
-    ``capacities`` (pack_code, capacity_tokens); containers are numbered from 1 in each pack, pieces from 1."""
+    ``capacities`` (pack_code, capacity_tokens); containers are numbered from 1 in each pack, pieces from 1.
+
+    A size is ranked in parts of about ``part_docs`` documents, so the driver holds a row for each size and for each such part."""
     spark = sizes.sparkSession
     packs = [(r[0], int(r[1])) for r in capacities.filter("pack_code is not null and capacity_tokens > 0").select("pack_code", "capacity_tokens").distinct().orderBy("pack_code").collect()]
     base = stage(sizes.filter("doc_id is not null").select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).distinct(), "sizes")
@@ -147,8 +150,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, salts: int = 64) -> DataFrame:
     out = out.select("pack_code", F.lit(0).cast("long").alias("container_no"), "doc_id", F.lit(1).alias("piece_no"), F.lit(1).cast("long").alias("first_token"), F.lit(0).cast("long").alias("tokens"))
     for code, cap in packs:
         part = base.filter("tokens > 0").select("doc_id", "tokens", (F.col("tokens") % cap).alias("rest"), F.expr(f"tokens div {cap}").alias("whole"))
-        salted = part.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(salts)).cast("int"))
-        counts = [tuple(r) for r in salted.groupBy("rest", "salt").agg(F.count("*"), F.sum("whole")).collect()]  # at most capacity x salts rows
+        # a size of many documents gets many parts
+        many = {r[0]: math.ceil(r[1] / part_docs) for r in part.groupBy("rest").count().collect()}  # at most capacity rows
+        hot = spark.createDataFrame([(k, n) for k, n in many.items() if n > 1], "rest long, salts int")
+        salted = part.join(F.broadcast(hot), "rest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        counts = [tuple(r) for r in salted.groupBy("rest", "salt").agg(F.count("*"), F.sum("whole")).collect()]
         by_rest: dict[int, int] = {}
         for rest, _, n, _ in counts:
             by_rest[rest] = by_rest.get(rest, 0) + n
