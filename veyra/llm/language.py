@@ -8,6 +8,9 @@ landmarks' weights fold into one matrix, and batches of lines are scored by one
 Labels are noisy, so lines that a first fit puts elsewhere are left out of the second. Bulgarian in Latin letters is learnt
 from Bulgarian lines spelt in the usual Latin ways.
 
+Letters beyond U+2FFF (Chinese, Japanese, Korean) are of none of these languages: they count for none, and a text of them alone has no
+words here.
+
 Defined results: null texts and texts without words give no rows; a null or unknown label is a missing one; ties go to the
 language that comes first in ``LANGUAGES``; a doc_id that repeats with the same text gives its rows once; texts are read whole.
 """
@@ -176,7 +179,7 @@ def train(sample: list[tuple[str, str]], first: int = 6000, a_language: int = 12
     for text, label in sample:
         code = known_label(label)
         if code:
-            own = [x[:600] for x in plain(text).split("\n") if sum(map(str.isalpha, x)) >= 12]
+            own = [x for x in plain(text).split("\n") if sum(map(str.isalpha, x)) >= 12]
             lines += own
             labels += [LANGUAGES.index(code)] * len(own)
     if not lines:
@@ -205,11 +208,11 @@ def plain(text: str) -> str:
     return out
 
 
-def judge(model: LanguageModel, texts: list[str], slack: float = 2.4, least_letters: int = 22) -> list[tuple[int, float, list[tuple[int, int, float]]] | None]:
+def judge(model: LanguageModel, texts: list[str], slack: float = 2.4, short: int = 22) -> list[tuple[int, float, list[tuple[int, int, float]]] | None]:
     """For each text (language, confidence, [(line, language, confidence)] of lines in another one), or None for one without words.
 
-    A line is taken out of its document's language only by a margin that shrinks with the root of its length; one of fewer
-    than ``least_letters`` letters, which a single name can fill, goes with its document.
+    A line is taken out of its document's language only by a margin that shrinks with the root of its length; below ``short``
+    letters, which a single name can fill, the margin asked grows by as much as letters are missing.
     """
     clean = [plain(t).lower() for t in texts]
     scores, counts = model.scores("\n".join(clean))
@@ -226,27 +229,32 @@ def judge(model: LanguageModel, texts: list[str], slack: float = 2.4, least_lett
         votes = np.bincount(own, weights=letters, minlength=s.shape[1])
         total = letters @ s / letters.sum()
         lang = int(np.lexsort((-total, -votes))[0])
-        other = np.flatnonzero((own != lang) & (letters >= least_letters))
+        other = np.flatnonzero((own != lang) & (letters > 0))
         margin = s[other, own[other]] - s[other, lang]
-        z = margin * np.sqrt(letters[other]) / slack
+        z = margin * np.sqrt(letters[other]) / slack * np.minimum(1.0, letters[other] / short)
         found = [(int(i) + 1, int(own[i]), conf(3 * (v - 1) + 1)) for i, v in zip(other, z) if v > 1]
         top = np.sort(total)
         out.append((lang, conf(6 * (top[-1] - top[-2]) * np.sqrt(min(letters.sum(), 400) / 100)), found))
     return out
 
 
-def fit_model(docs: DataFrame, fit_docs: int = 6000, text: str = "text", label: str = "lang") -> LanguageModel:
-    """A model of at most ``fit_docs`` labelled documents, drawn evenly over the table."""
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(F.col(label)) != "")).select(F.substring(text, 1, 20_000).alias("text"), F.col(label).alias("label"))
+def fit_model(docs: DataFrame, fit_docs: int = 6000, fit_lines: int = 40, text: str = "text", label: str = "lang") -> LanguageModel:
+    """A model of at most ``fit_docs`` labelled documents, drawn evenly over the table, and at most ``fit_lines`` whole lines of each,
+    drawn from anywhere in its text."""
+    labelled = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(F.col(label)) != "")).select(F.col(text).alias("text"), F.col(label).alias("label"))
     n = max(1, labelled.count())
-    rows = labelled.sample(min(1.0, fit_docs / n), 9).limit(fit_docs).collect() if n > fit_docs else labelled.collect()
-    return train([(r[0], r[1]) for r in rows]) or LanguageModel(Grams(), np.zeros((Grams().size, len(LANGUAGES)), dtype=np.float32))
+    draw = F.pmod(F.xxhash64("text", "label", F.lit(9)), F.lit(1_000_000))
+    some = labelled.filter(draw < int(1_100_000 * fit_docs / n)) if n > fit_docs else labelled
+    lines = F.split("text", "\n", -1)
+    picked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.struct(F.xxhash64("text", i).alias("h"), i.alias("i")))), 1, fit_lines)
+    rows = some.withColumn("h", draw).select("h", "label", F.array_join(F.transform(F.array_sort(F.transform(picked, lambda x: x["i"])), lambda i: F.get(lines, i)), "\n").alias("text")).orderBy("h", "text").limit(fit_docs).collect()
+    return train([(r.text, r.label) for r in rows]) or LanguageModel(Grams(), np.zeros((Grams().size, len(LANGUAGES)), dtype=np.float32))
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", fit_docs: int = 6000) -> DataFrame:
     """(doc_id, line_no, lang, confidence, labelled): line 0 is the document, other lines are those in another language;
     labelled is what the document's label names."""
-    model = fit_model(docs, fit_docs, text, label)
+    model = fit_model(docs, fit_docs, text=text, label=label)
 
     def read(batches):
         for pdf in batches:
