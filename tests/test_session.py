@@ -1,3 +1,5 @@
+import pytest
+
 from veyra import session
 
 
@@ -7,7 +9,8 @@ class Conf(dict):
 
 
 class Fake:
-    def __init__(self, where=None):
+    def __init__(self, where=None, master="local[2]"):
+        self.master = master
         self.conf = Conf({"spark.checkpoint.dir": where} if where else {})
         self.sparkContext = self
 
@@ -24,6 +27,13 @@ def test_a_folder_of_this_machine_only_where_none_is_named():
     assert a == b and "veyra-stage-" in a
 
 
+def test_no_folder_of_one_machine_on_a_cluster():
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake(master="spark://x:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake(master="local-cluster[3,2,1024]"))
+
+
 def test_staged_tables_keep_schema_rows_and_lineage_short(spark):
     df = spark.range(10).selectExpr("id", "id % 3 as k", "cast(null as string) as s")
     out = session.stage(df)

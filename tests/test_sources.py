@@ -41,6 +41,11 @@ def test_dump_timetable_elements_and_partitions(spark, tmp_path):
     assert files.partitioned_json(spark, str(tmp_path / "p"), "v int, city string").filter("city = 'x'").count() == 1
 
 
+def test_copy_dump_reads_each_escape_once(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("a\\\\tb\tc\\td\t\\\\N\n")
+    assert tuple(files.copy_dump(spark, str(tmp_path / "e.txt"), ["x", "y", "z"]).first()) == ("a\\tb", "c\td", "\\N")
+
+
 def test_packed_numbers_round_trip():
     v = np.array([42.12345, 42.1, -7.0, 0.0])
     assert files.unpack_deltas(files.pack_deltas(v)) == pytest.approx(v)

@@ -21,7 +21,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct()
     cur = stage(e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    for k in range(rounds + 1):
+        if k == rounds:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
         # large star: each node points its larger neighbours to its smallest one
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
@@ -97,40 +99,22 @@ def earliest_arrivals(sources: DataFrame, stop_times: DataFrame, start: int, rid
     """(source, stop, arrival, rides) of public transport: the earliest arrival at each stop with the fewest rides that reach it.
 
     ``sources`` has (source); ``stop_times`` has (trip, seq, stop, arrival, departure) in whole seconds. Round k extends by one
-    ride what round k - 1 reached. A timetable of one service day is bounded, so it is broadcast and sources are spread.
+    ride what round k - 1 improved: the first call of each trip that can be boarded, then the calls after it. Both are equi-joins
+    with grouped minima, so neither timetable nor results meet in one place.
     """
-    rows = stop_times.select("trip", "seq", "stop", "arrival", "departure").orderBy("trip", "seq").toPandas()
-    trips: dict[int, list[tuple[int, int, int]]] = {}
-    calls: dict[int, list[tuple[int, int]]] = {}
-    for t, s, a, d in zip(rows["trip"], rows["stop"], rows["arrival"], rows["departure"]):
-        calls.setdefault(s, []).append((t, len(trips.setdefault(t, []))))
-        trips[t].append((int(s), int(a), int(d)))
-
-    def search(batches):
-        for pdf in batches:
-            out = []
-            for s in pdf["source"]:
-                best = {int(s): (start, 0)}
-                marked = {int(s)}
-                for k in range(1, rides + 1):
-                    board: dict[int, int] = {}
-                    for stop in marked:
-                        ready = best[stop][0] + (slack if best[stop][1] else 0)
-                        for t, i in calls.get(stop, ()):
-                            if trips[t][i][2] >= ready and (t not in board or i < board[t]):
-                                board[t] = i
-                    marked, before = set(), dict(best)
-                    for t, i in board.items():
-                        for stop, a, _ in trips[t][i + 1 :]:
-                            if a < best.get(stop, (1 << 60, 0))[0] and a < before.get(stop, (1 << 60, 0))[0]:
-                                best[stop] = (a, k)
-                                marked.add(stop)
-                    if not marked:
-                        break
-                out += [(int(s), stop, a, k) for stop, (a, k) in best.items()]
-            yield pd.DataFrame(out, columns=["source", "stop", "arrival", "rides"]).astype({"rides": "int32"})
-
-    return sources.select("source").filter("source is not null").distinct().mapInPandas(search, "source long, stop long, arrival long, rides int")
+    calls = stop_times.select("trip", "seq", F.col("stop").cast("long").alias("stop"), F.col("arrival").cast("long").alias("arrival"), F.col("departure").cast("long").alias("departure"))
+    best = stage(sources.select(F.col("source").cast("long").alias("source")).filter("source is not null").distinct().select("source", F.col("source").alias("stop"), F.lit(start).cast("long").alias("arrival"), F.lit(0).alias("rides")), "reached")
+    marked = best
+    for k in range(1, rides + 1):
+        ready = marked.select("source", "stop", (F.col("arrival") + (0 if k == 1 else slack)).alias("ready"))
+        board = ready.join(calls, "stop").filter("departure >= ready").groupBy("source", "trip").agg(F.min("seq").alias("at"))
+        got = board.join(calls.select("trip", "seq", "stop", "arrival"), "trip").filter("seq > at").groupBy("source", "stop").agg(F.min("arrival").alias("arrival"))
+        both = best.unionByName(got.select("source", "stop", "arrival", F.lit(k).alias("rides")))
+        best = stage(both.groupBy("source", "stop").agg(F.min(F.struct("arrival", "rides")).alias("b")).select("source", "stop", "b.*"), "reached")
+        marked = best.filter(F.col("rides") == k)
+        if not marked.limit(1).count():
+            break
+    return best.select("source", "stop", "arrival", F.col("rides").cast("int").alias("rides"))
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veyra.operators.proximity import near_and_inside
-from veyra.operators.units import common_units
+from veyra.operators.units import common_units, told_units
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,11 +15,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return told_units(spark.read.parquet(f"{d}/pricing.parquet")).filter("not plain").select("price_id", "eur_cents", "unit").distinct()
+
+
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every amount in euro cents for one unit: told, or inferred with its posterior and whether that is uncertain."""
     units = common_units(spark.read.parquet(f"{d}/pricing.parquet"))
-    return units.filter("basis = 'told' and not plain").select("price_id", "eur_cents", "unit").distinct()
+    return units.select("price_id", "eur_cents", "unit", "basis", F.round("confidence", 6).alias("confidence"), "uncertain").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_units": p2_units}
 
 P1_SQL = """
 WITH pin AS (SELECT DISTINCT location_id AS id, lat, lng FROM place_pins

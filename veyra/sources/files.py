@@ -112,7 +112,10 @@ def copy_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A tab-separated dump with \\N for null and backslash escapes, all columns as text."""
     raw = spark.read.text(path).filter(r"value not in ('\\.', '')")
     parts = F.split("value", "\t")
-    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
+    # a backslash and what follows it are one mark: marks are taken from the left, so an escaped backslash never opens another
+    marks = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
+    table = F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])
+    text = lambda c: F.when(~c.contains("\\"), c).otherwise(F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\]+)"), F.lit(1)), lambda x: F.when(x.startswith("\\"), F.coalesce(table[F.substring(x, 2, 1)], F.substring(x, 2, 1))).otherwise(x)), ""))
     return raw.select(*[F.when(F.get(parts, F.lit(i)) != "\\N", text(F.get(parts, F.lit(i)))).alias(c) for i, c in enumerate(columns)])
 
 

@@ -12,7 +12,6 @@ from veyra.session import stage
 
 def merge_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partitions: list[str]) -> None:
     """Rows of ``new`` replace those of equal ``keys``; only the partitions that ``new`` touches are read and written again."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         old = spark.read.schema(new.schema).parquet(path).join(new.select(*partitions).distinct(), partitions, "left_semi")
         kept = old.join(new.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
@@ -21,18 +20,29 @@ def merge_partitions(spark: SparkSession, path: str, new: DataFrame, keys: list[
         if "PATH_NOT_FOUND" not in str(e):
             raise
         both = new
-    stage(both, "merge").repartition(*partitions).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    stage(both, "merge").repartition(*partitions).sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table and moves it into place, so readers see the old or the new one."""
+    """Writes beside the table, moves the old one aside and the new one into place, then removes the old one.
+
+    Whatever fails, the old or the new table is whole, in place or under ``.old-``; a failed move is undone and raised.
+    """
     spark = df.sparkSession
-    tmp = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(tmp)
+    mark = uuid.uuid4().hex
     jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path))
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new-{mark}", f"{path}.old-{mark}"))
+    df.write.parquet(new.toString())
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"the new table can't be moved to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def allowlisted_json(df: DataFrame, columns: list[str]) -> DataFrame:
