@@ -200,17 +200,20 @@ def token_cost(a: str, b: str) -> int | None:
     return edits(skeleton(a.rstrip(".")), skeleton(b.rstrip(".")), 9) if same_token(a, b) else None
 
 
-def _keys(name: str) -> list[str]:
-    """The index entries of a street's tokens: their deletion neighbourhoods, and beginnings for tokens cut short."""
-    out: set[str] = set()
+WORD, BEGINS, SHORT = 0, 1, 2
+
+
+def _keys(name: str) -> list[tuple[str, int]]:
+    """The index entries of a street's tokens: their deletion neighbourhoods, and beginnings, by which only tokens cut short meet others."""
+    out: set[tuple[str, int]] = set()
     for t in name.split():
         w = skeleton(t.rstrip("."))
         if t.endswith("."):
-            out.add(f"<{w[:3]}")
+            out.add((w[:3], SHORT))
         else:
-            out |= deletions(w, allowed(len(w)))
-            out.add(f"<{w[:3]}")
-    out.add("=" + skeleton(name.replace(" ", "").replace(".", "")))
+            out |= {(k, WORD) for k in deletions(w, allowed(len(w)))}
+            out.add((w[:3], BEGINS))
+    out.add(("=" + skeleton(name.replace(" ", "").replace(".", "")), WORD))
     return sorted(out)
 
 
@@ -277,13 +280,17 @@ def same_place(records: DataFrame, rare_share: float = 0.05, evidence: float = 1
             ks = [_keys(n) for n in pdf["name"]]
             rep = [len(k) for k in ks]
             out = pdf.loc[pdf.index.repeat(rep)].reset_index(drop=True)
-            out["entry"] = [x for k in ks for x in k]
+            out["entry"] = [x for k in ks for x, _ in k]
+            out["role"] = [r for k in ks for _, r in k]
             yield out
 
     names = forms.select(*block, "name").distinct()
-    entries = names.mapInPandas(index, "loc string, kind string, num string, name string, entry string")
+    entries = stage(names.mapInPandas(index, "loc string, kind string, num string, name string, entry string, role int"), "entries")
     # index entries meet by sorting: even a few of them would be a large table to build on the driver
-    near = entries.alias("a").join(entries.alias("b").hint("merge"), [*block, "entry"]).filter("a.name < b.name").select(*block, F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    meet = lambda x, y: x.alias("a").join(y.alias("b").hint("merge"), [*block, "entry"]).filter("a.name != b.name").select(*block, F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"))
+    words, short = entries.filter(F.col("role") == WORD), entries.filter(F.col("role") == SHORT)
+    near = words.alias("a").join(words.alias("b").hint("merge"), [*block, "entry"]).filter("a.name < b.name").select(*block, F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+    near = near.unionByName(meet(short, entries.filter(F.col("role") != WORD))).distinct()
 
     def compare(batches):
         for pdf in batches:
