@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veyra.functions.columns import name_key
-from veyra.functions.findings import amounts_table
 from veyra.operators.graph import components
 from veyra.operators.proximity import near_pairs, positioned
 from veyra.operators.relational import best_of
@@ -17,14 +16,17 @@ from veyra.sources.tables import Tables
 KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT DISTINCT location_id AS id, lat, lng, {KEY.format('name')} AS brand FROM place_pins WHERE {GOOD} AND name IS NOT NULL), e AS (SELECT a.id AS a, b.id AS b FROM q a JOIN q b ON a.brand = b.brand AND a.id <> b.id AND {HAV.format(a='a', b='b')} <= 150),
+BRAND = rf"regexp_extract({KEY.format('name')}, '[^ ]+$')"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT DISTINCT location_id AS id, lat, lng, {BRAND} AS brand FROM place_pins WHERE {GOOD} AND name IS NOT NULL), e AS (SELECT a.id AS a, b.id AS b FROM q a JOIN q b ON a.brand = b.brand AND a.id <> b.id AND {HAV.format(a='a', b='b')} <= 1000),
 c AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.node) SELECT node, min(label) AS component FROM c GROUP BY 1""")
 def brand_clusters(t: Tables) -> DataFrame:
-    """Connected parts of pins that bear one name within 150 m: near pairs meet in cells, then the names are compared."""
+    """Connected parts of pins whose names end in one word within a kilometre: near pairs meet in cells, then the words are compared."""
     p = positioned(t.place_pins, "location_id")
-    names = t.place_pins.filter("name is not null").select(F.col("location_id").cast("long").alias("id"), name_key(F.col("name")).alias("brand")).distinct()
+    names = t.place_pins.filter("name is not null").select(F.col("location_id").cast("long").alias("id"), F.regexp_extract(name_key(F.col("name")), "[^ ]+$", 0).alias("brand")).distinct()
     b = p.join(names, "id")
-    near = near_pairs(b, b, 150.0).filter("a_id < b_id and a_brand = b_brand").select("a_id", "b_id")
+    near = near_pairs(b, b, 1000.0).filter("a_id < b_id and a_brand = b_brand").select("a_id", "b_id")
     return components(near, "a_id", "b_id")
 
 
@@ -54,14 +56,14 @@ def current_or_former_name(t: Tables) -> DataFrame:
     return r.join(p, "k", "left").groupBy("dz_id").agg(F.coalesce(now, then).alias("location_id"), F.when(now.isNotNull(), "current").when(then.isNotNull(), "former").alias("by_name"))
 
 
-@query("""WITH m AS (SELECT DISTINCT n_regionkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9900), o AS (SELECT a.n_regionkey, b.c_mktsegment FROM (SELECT DISTINCT n_regionkey FROM m) a, (SELECT DISTINCT c_mktsegment FROM m) b)
-SELECT n_regionkey, c_mktsegment AS missing FROM o EXCEPT SELECT n_regionkey, c_mktsegment FROM m""")
+@query("""WITH m AS (SELECT DISTINCT source, doc_kind FROM documents WHERE source IS NOT NULL AND doc_kind IS NOT NULL), o AS (SELECT a.source, b.doc_kind FROM (SELECT DISTINCT source FROM m) a, (SELECT DISTINCT doc_kind FROM m) b)
+SELECT source, doc_kind AS missing FROM o EXCEPT SELECT source, doc_kind FROM m""")
 def others_minus_own(t: Tables) -> DataFrame:
     """Values that occur elsewhere but not in a group: the list of all values is small and fixed, each group's own is taken from it."""
-    m = t.customer.filter("c_acctbal > 9900").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "c_mktsegment").distinct()
-    every = m.agg(F.sort_array(F.collect_set("c_mktsegment")).alias("e")).scalar()
-    own = m.groupBy("n_regionkey").agg(F.collect_set("c_mktsegment").alias("own"))
-    return own.select("n_regionkey", F.explode(F.array_except(every, F.col("own"))).alias("missing"))
+    m = t.documents.filter("source is not null and doc_kind is not null").select("source", "doc_kind").distinct()
+    every = m.agg(F.sort_array(F.collect_set("doc_kind")).alias("e")).scalar()
+    own = m.groupBy("source").agg(F.collect_set("doc_kind").alias("own"))
+    return own.select("source", F.explode(F.array_except(every, F.col("own"))).alias("missing"))
 
 
 @query("""WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), c AS (SELECT o_orderpriority, min(o_totalprice) AS cutoff FROM r WHERE k <= 100 GROUP BY 1)
@@ -116,21 +118,23 @@ def core_names(t: Tables) -> DataFrame:
     return t.dz_responses.filter("name_full is not null").select("dz_id", F.trim(core).alias("core")).distinct()
 
 
-@query("""SELECT doc_id, md5(substr(text, greatest(instr(text, '€') - 20, 1), 60)) AS around_md5, instr(text, '€') AS at FROM documents WHERE contains(text, '€')""")
+@query("""WITH p AS (SELECT doc_id, string_split(text, '€') AS parts FROM documents WHERE contains(text, '€')), n AS (SELECT doc_id, parts, unnest(range(1, len(parts))) AS nth FROM p)
+SELECT doc_id, CAST(nth AS INTEGER) AS nth, md5(right(parts[nth], 40) || '€' || left(parts[nth + 1], 40)) AS window_md5 FROM n""")
 def keyword_windows(t: Tables) -> DataFrame:
-    """What stands around the first occurrence of a keyword."""
-    at = F.instr("text", "€")
-    return t.documents.filter(F.col("text").contains("€")).select("doc_id", F.md5(F.substring("text", F.greatest(at - 20, F.lit(1)), F.lit(60))).alias("around_md5"), at.cast("long").alias("at"))
+    """What stands within forty characters on both sides of each occurrence of a keyword, up to the next one."""
+    parts = F.split("text", "€", -1)
+    around = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.right(F.get(parts, i - 1), F.lit(40)), F.lit("€"), F.left(F.get(parts, i), F.lit(40))))
+    return t.documents.filter(F.col("text").contains("€")).select("doc_id", F.posexplode(around).alias("pos", "w")).select("doc_id", (F.col("pos") + 1).alias("nth"), F.md5("w").alias("window_md5"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, published_at, unnest(regexp_extract_all(text, '(^|[^0-9.:,])([0-3]?[0-9]\.[01]?[0-9]\.20[0-9][0-9])', 2)) AS s FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, published_at, try_strptime(s, '%d.%m.%Y') AS day FROM d)
-SELECT doc_id, count(*) AS dates, count(*) FILTER (WHERE day > published_at) AS future FROM p WHERE day IS NOT NULL GROUP BY 1""")
+@query(r"""WITH d AS (SELECT DISTINCT page_id, raw_markdown, last_scraped_at FROM pages WHERE raw_markdown IS NOT NULL), x AS (SELECT page_id, last_scraped_at, unnest(regexp_extract_all(raw_markdown, '(^|[^0-9.:,])([0-3]?[0-9]\.[01]?[0-9]\.20[0-9][0-9])', 2)) AS s FROM d), p AS (SELECT page_id, last_scraped_at, try_strptime(s, '%d.%m.%Y') AS day FROM x)
+SELECT page_id, last_scraped_at, count(*) AS dates, count(*) FILTER (WHERE day > last_scraped_at) AS future FROM p WHERE day IS NOT NULL GROUP BY 1, 2""")
 def future_dates(t: Tables) -> DataFrame:
-    """Dates in a text that lie after its publication."""
-    found = F.regexp_extract_all("text", F.lit(r"(^|[^0-9.:,])([0-3]?[0-9]\.[01]?[0-9]\.20[0-9][0-9])"), F.lit(2))
-    d = t.documents.filter("text is not null").select("doc_id", "published_at", F.explode(found).alias("s"))
+    """Dates in a page that lie after its crawl."""
+    found = F.regexp_extract_all("raw_markdown", F.lit(r"(^|[^0-9.:,])([0-3]?[0-9]\.[01]?[0-9]\.20[0-9][0-9])"), F.lit(2))
+    d = t.pages.filter("raw_markdown is not null").select("page_id", "last_scraped_at", "raw_markdown").distinct().select("page_id", "last_scraped_at", F.explode(found).alias("s"))
     p = d.withColumn("day", F.try_to_timestamp("s", F.lit("d.M.yyyy")).cast("timestamp_ntz")).filter("day is not null")
-    return p.groupBy("doc_id").agg(F.count("*").alias("dates"), F.count_if(F.col("day") > F.col("published_at")).alias("future"))
+    return p.groupBy("page_id", "last_scraped_at").agg(F.count("*").alias("dates"), F.count_if(F.col("day") > F.col("last_scraped_at")).alias("future"))
 
 
 @query("""WITH p AS (SELECT DISTINCT school_id, location_id, lat, lng FROM place_pins WHERE lat BETWEEN -90 AND 90 AND lng IS NOT NULL AND NOT (lat = 0 AND lng = 0)), b AS (SELECT school_id, count(*) AS pins, CAST(sum(CAST(round(lat * 1000000) AS BIGINT)) // count(*) AS BIGINT) AS clat, CAST(sum(CAST(round(lng * 1000000) AS BIGINT)) // count(*) AS BIGINT) AS clng, max(lat) - min(lat) AS dlat, max(lng) - min(lng) AS dlng FROM p GROUP BY 1)
@@ -167,7 +171,10 @@ def clean_queries(t: Tables) -> DataFrame:
 a AS (SELECT page_id, line_no, unnest(regexp_extract_all(line, '([0-9]+(?:,[0-9]{1,2})?) ?(€|EUR|лв)', 1)) AS v, unnest(regexp_extract_all(line, '([0-9]+(?:,[0-9]{1,2})?) ?(€|EUR|лв)', 2)) AS currency FROM x)
 SELECT page_id, line_no, currency, CAST(replace(v, ',', '.') AS DOUBLE) AS amount, count(*) AS times FROM a GROUP BY ALL""")
 def page_findings(t: Tables) -> DataFrame:
-    """A table function: one page in, no or many findings out."""
+    """One page in, no or many findings out: lines and the amounts in each are exploded by built-in functions."""
     p = t.pages.filter("raw_markdown is not null").select("page_id", "raw_markdown").distinct()
-    out = p.lateralJoin(amounts_table(F.col("raw_markdown").outer()))
-    return out.groupBy("page_id", "line_no", "currency", "amount").agg(F.count("*").alias("times"))
+    lines = p.select("page_id", F.posexplode(F.split("raw_markdown", "\n", -1)).alias("pos", "line"))
+    pat = F.lit(r"([0-9]+(?:,[0-9]{1,2})?) ?(€|EUR|лв)")
+    found = lines.select("page_id", (F.col("pos") + 1).alias("line_no"), F.explode(F.arrays_zip(F.regexp_extract_all("line", pat, F.lit(1)).alias("v"), F.regexp_extract_all("line", pat, F.lit(2)).alias("c"))).alias("f"))
+    found = found.select("page_id", "line_no", F.col("f.c").alias("currency"), F.replace(F.col("f.v"), F.lit(","), F.lit(".")).cast("double").alias("amount"))
+    return found.groupBy("page_id", "line_no", "currency", "amount").agg(F.count("*").alias("times"))

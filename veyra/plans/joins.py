@@ -31,13 +31,24 @@ def rule_as_of(t: Tables) -> DataFrame:
     return as_of(left, right, ["user_id"], "ts", "at", ["before_id"]).select("event_id", "before_id")
 
 
-@query("""WITH s AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, CAST(epoch(o_orderdate) AS BIGINT) + 86400 * (1 + o_orderkey % 5) AS b FROM orders WHERE o_orderpriority = '1-URGENT'), e AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) AS x FROM events)
-SELECT o_orderkey, count(*) AS events FROM e JOIN s ON x >= a AND x < b GROUP BY 1""")
+@query("""WITH s AS (SELECT DISTINCT response_id, CAST(epoch(fetched_at) AS BIGINT) AS a, CASE WHEN address IS NOT NULL THEN CAST(epoch(received_at) AS BIGINT) END AS b FROM dz_responses), e AS (SELECT DISTINCT page_id, CAST(epoch(last_scraped_at) AS BIGINT) AS x FROM pages WHERE last_scraped_at IS NOT NULL)
+SELECT response_id, b IS NULL AS open, count(*) AS crawls FROM e JOIN s ON x >= a AND (b IS NULL OR x <= b) GROUP BY 1, 2""")
 def interval_events(t: Tables) -> DataFrame:
-    """Events inside each urgent order's own stretch of days."""
-    s = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.unix_timestamp("o_orderdate").alias("a"), (F.unix_timestamp("o_orderdate") + 86400 * (1 + F.col("o_orderkey") % 5)).alias("b"))
-    e = t.events.select("event_id", F.unix_timestamp("ts").alias("x"))
-    return interval_join(e, s, "x", "a", "b", 86400).groupBy("o_orderkey").agg(F.count("*").alias("events"))
+    """Crawls inside each fetch's span; a fetch without an address has no end. Closed spans meet events in day cells, open ones are counted from sorted days."""
+    s = t.dz_responses.select("response_id", F.unix_timestamp("fetched_at").alias("a"), F.when(F.col("address").isNotNull(), F.unix_timestamp("received_at") + 1).alias("b")).distinct()
+    e = t.pages.filter("last_scraped_at is not null").select("page_id", F.unix_timestamp("last_scraped_at").alias("x")).distinct()
+    closed = interval_join(e, s.filter("b is not null"), "x", "a", "b", 86400).groupBy("response_id").agg(F.count("*").alias("crawls")).select("response_id", F.lit(False).alias("open"), "crawls")
+    # the days after an open span's first one count whole, from sums by day; only the first day is compared event by event
+    day = lambda c: F.floor(F.col(c) / 86400)
+    days = e.groupBy(day("x").alias("day")).agg(F.count("*").alias("n"))
+    later = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("from_day"))
+    o = s.filter("b is null").select("response_id", "a", day("a").alias("day"))
+    first = o.join(e.select("x", day("x").alias("day")), "day").filter("x >= a").groupBy("response_id").agg(F.count("*").alias("n"))
+    # the next day that has events, as of the span's own
+    stops = later.select(F.col("day").alias("at"), "from_day").unionByName(o.select((F.col("day") + 1).alias("at"), F.lit(None).cast("long").alias("from_day"))).distinct()
+    ahead = stops.groupBy("at").agg(F.max("from_day").alias("f")).select("at", F.coalesce(F.first("f", True).over(Window.orderBy("at").rowsBetween(0, Window.unboundedFollowing)), F.lit(0)).alias("rest"))
+    both = o.join(first, "response_id", "left").join(ahead, F.col("at") == F.col("day") + 1).select("response_id", F.lit(True).alias("open"), (F.coalesce("n", F.lit(0)) + F.col("rest")).alias("crawls"))
+    return closed.unionByName(both.filter("crawls > 0"))
 
 
 @query("""WITH b(lo, hi, band) AS (VALUES (1, 5, 'small'), (6, 15, 'middle'), (10, 20, 'late'), (21, 50, 'large')) SELECT p_partkey, (SELECT arg_min(band, lo) FROM b WHERE p_size BETWEEN lo AND hi) AS band FROM part""")
@@ -156,12 +167,14 @@ def fill_from_superseded(t: Tables) -> DataFrame:
     return v.select("price_id", "period", best.alias("b")).select("price_id", F.coalesce("period", "b.period").alias("period"), (F.col("period").isNull() & F.col("b").isNotNull()).alias("filled"))
 
 
-@query(r"""WITH u AS (SELECT DISTINCT school_id, lower(regexp_extract(website_url, '^[a-z]+://(?:www\.)?([^/:?#]+)', 1)) AS host FROM schools WHERE website_url IS NOT NULL), n AS (SELECT host, count(*) AS members FROM u WHERE host <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT host, members, school_id FROM u JOIN n USING (host)""")
-def shared_hosts(t: Tables) -> DataFrame:
-    """Members of each site that several entities share, a row for each: a host of any size is no single value."""
-    u = t.schools.select("school_id", F.lower(F.regexp_extract("website_url", r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)).alias("host")).filter("host != ''").distinct()
-    n = u.groupBy("host").agg(F.count("*").alias("members")).filter("members >= 2")
-    return u.join(n, "host").select("host", "members", "school_id")
+@query(r"""WITH u AS (SELECT DISTINCT school_id, regexp_extract(lower(website_url), '^[a-z]+://(?:www\.)?(?:[^/:?#]*-)?([^/:?#.-]+\.[^/:?#.]+)', 1) AS site FROM schools WHERE website_url IS NOT NULL), n AS (SELECT site, count(*) AS members FROM u WHERE site <> '' GROUP BY 1 HAVING count(*) >= 2) SELECT site, members, school_id FROM u JOIN n USING (site)""")
+def shared_sites(t: Tables) -> DataFrame:
+    """Members of each family of sites that several entities share, a row for each: a family of any size is no single value.
+
+    A tenant's own part of the host, up to its last hyphen, doesn't count."""
+    u = t.schools.select("school_id", F.regexp_extract(F.lower("website_url"), r"^[a-z]+://(?:www\.)?(?:[^/:?#]*-)?([^/:?#.-]+\.[^/:?#.]+)", 1).alias("site")).filter("site != ''").distinct()
+    n = u.groupBy("site").agg(F.count("*").alias("members")).filter("members >= 2")
+    return u.join(n, "site").select("site", "members", "school_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25")

@@ -68,9 +68,9 @@ def semi_join_in_box(t: Tables) -> DataFrame:
     return t.schools.select("school_id", "city").distinct().join(inside, "school_id", "left_semi").join(t.pricing.select("school_id"), "school_id", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT DISTINCT school_id, city FROM schools s WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.school_id = s.school_id AND p.is_valid)")
 def anti_without_children(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return t.schools.join(t.pages.filter("is_valid").select("school_id"), "school_id", "left_anti").select("school_id", "city").distinct()
 
 
 @query("SELECT c.c_custkey, c.c_name, count(o.o_orderkey) AS orders, max(o.o_totalprice) AS largest FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2")
@@ -229,13 +229,14 @@ def row_gate(t: Tables) -> DataFrame:
     return r.groupBy("category").agg(F.count("*").alias("rows"), F.count_if(number & cur & per & ~rng).alias("passing"), F.nullif(F.sort_array(F.collect_set(why)), F.array().cast("array<string>")).alias("reasons"))
 
 
-@query("""WITH a AS (SELECT p_brand, p_partkey, p_retailprice FROM part), m AS (SELECT p_brand, median(CAST(p_retailprice AS DECIMAL(18, 2))) AS mid FROM a WHERE p_retailprice BETWEEN 1 AND 50000 GROUP BY 1)
-SELECT a.p_partkey, a.p_brand, a.p_retailprice FROM a JOIN m USING (p_brand) WHERE a.p_retailprice < CAST(m.mid AS DOUBLE) * 0.75 OR a.p_retailprice > CAST(m.mid AS DOUBLE) * 1.25""")
+@query("""WITH m AS (SELECT o_orderpriority, median(CAST(o_totalprice AS DECIMAL(18, 2))) AS mid FROM orders WHERE o_totalprice BETWEEN 1 AND 500000 GROUP BY 1)
+SELECT o_orderkey, o_orderpriority, o_totalprice, o_totalprice > CAST(mid AS DOUBLE) AS high FROM orders JOIN m USING (o_orderpriority) WHERE o_totalprice < CAST(mid AS DOUBLE) * 0.25 OR o_totalprice > CAST(mid AS DOUBLE) * 1.75""")
 def peer_median_outliers(t: Tables) -> DataFrame:
     """Rows far from the exact median of their group; the medians join back, so no group is held in one window frame."""
-    a = t.part.select("p_partkey", "p_brand", "p_retailprice")
-    m = a.filter("p_retailprice between 1 and 50000").groupBy("p_brand").agg(F.median("p_retailprice").alias("mid"))
-    return a.join(m, "p_brand").filter("p_retailprice < mid * 0.75 or p_retailprice > mid * 1.25").select("p_partkey", "p_brand", "p_retailprice")
+    a = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    m = a.filter("o_totalprice between 1 and 500000").groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"))
+    far = a.join(m, "o_orderpriority").filter("o_totalprice < mid * 0.25 or o_totalprice > mid * 1.75")
+    return far.select("o_orderkey", "o_orderpriority", "o_totalprice", (F.col("o_totalprice") > F.col("mid")).alias("high"))
 
 
 @query("SELECT school_id, min(loaded_at) AS first_seen, count(DISTINCT price_id) AS prices FROM pricing GROUP BY 1")
