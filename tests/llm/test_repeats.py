@@ -1,6 +1,6 @@
-from collections import defaultdict
+from pyspark.sql import functions as F
 
-from veyra.llm.repeats import fits, repeated_lines, templates, with_path, lines_of, without_lines
+from veyra.llm.repeats import LINE, leaves, lines_of, repeated_lines, templated_lines, without_lines
 
 COLS = "page_id long, url string, raw_markdown string, site string, key string, line_no int"
 
@@ -17,16 +17,21 @@ def test_lines_on_enough_pages(spark):
     assert got == {(i, n) for i in range(8) for n in (1, 5)} | {(50, 1)}
 
 
-def test_templates_hold_their_lines(spark):
-    rows = [(i, "https://a.example/%d" % i, f"Прочетено {i * 7} пъти, Градец\nНовина номер {i}") for i in range(20)]
-    keyed = with_path(lines_of(pages(spark, rows)))
-    leaf = {(r.site, r.path): r.templates for r in templates(keyed).collect()}
-    for r in keyed.collect():
-        assert any(fits(t.split(" "), r.tokens) for t in leaf[r.site, r.path])
-    by = defaultdict(set)
-    for r in keyed.collect():
-        by[r.path].add(tuple(r.tokens))
-    assert all(len(v) == 1 for v in by.values())  # numbers are slots
+def test_templates_are_removed_with_their_slots(spark):
+    rows = [(i, "https://a.example/%d" % i, f"Прочетено {i * 7} пъти, Градец\nСтара новина номер {i} от {chr(1072 + i) * 4}\nсамо тук {chr(1072 + i) * 3}") for i in range(8)]
+    rows += [(50 + i, "https://b.example/%d" % i, "Прочетено 3 пъти, Градец") for i in range(7)]
+    got = {(r.page_id, r.line_no): r.template for r in templated_lines(pages(spark, rows)).collect()}
+    assert {k for k in got if k[1] == 1} == {(i, 1) for i in range(8)}  # counters differ, the template is one; seven pages are too few
+    assert len({v for k, v in got.items() if k[1] == 1}) == 1 and "*" in got[0, 1]
+    assert {(r.page_id, r.line_no) for r in repeated_lines(pages(spark, rows)).collect()} == set()
+
+
+def test_a_node_of_many_children_is_a_slot_and_equal_lines_share_a_leaf(spark):
+    rows = [(i, "https://a.example/%d" % i, f"{chr(1072 + i % 32)}{chr(1072 + i // 32)}бвгде край\nобщо за всички") for i in range(100)]
+    keys = lines_of(pages(spark, rows)).select("site", F.xxhash64("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "key").dropDuplicates(LINE)
+    at = {r.key: r.leaf for r in keys.join(leaves(keys), LINE).collect()}
+    assert len(at) == 101 and len(set(at.values())) == 2
+    assert len({r.leaf for r in leaves(keys, children=1000).collect()}) > 90
 
 
 def test_removal_and_empty(spark):

@@ -11,7 +11,7 @@ from veyra.llm.language import found_languages, languages
 from veyra.llm.mainbody import main_body
 from veyra.llm.mixing import mix, mix_report
 from veyra.llm.packing import pack, packing_report
-from veyra.llm.repeats import repeated_lines, without_lines
+from veyra.llm.repeats import repeated_lines, templated_lines, without_lines
 from veyra.llm.sizes import sized
 
 
@@ -48,6 +48,15 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(pages, repeated_lines(pages))
 
 
+def p7_templates(spark: SparkSession, d: str) -> DataFrame:
+    return templated_lines(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+def p7_untemplated(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return without_lines(pages, templated_lines(pages))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(sized(spark.read.parquet(f"{d}/documents.parquet")), spark.read.parquet(f"{d}/pack_sizes.parquet"))
 
@@ -72,7 +81,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_templates": p7_templates, "p7_untemplated": p7_untemplated, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 _P7_LINES = r"""
 WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),
@@ -93,4 +102,15 @@ SELECT a.page_id, CASE WHEN a.raw_markdown IS NULL THEN NULL ELSE coalesce(k.kep
 FROM (SELECT DISTINCT page_id, raw_markdown FROM pages) a LEFT JOIN kept k USING (page_id)"""
 )
 
-ORACLE: dict = {"p7_found": P7_SQL, "p7_clean": P7_CLEAN_SQL}
+_LEVEL = ", w{0} AS (SELECT site, leaf FROM n{0} GROUP BY 1, 2 HAVING count(DISTINCT coalesce(t[{1}], '')) > 32), n{1} AS (SELECT n.site, n.key, n.t, n.leaf || ' ' || CASE WHEN w.leaf IS NULL THEN coalesce(n.t[{1}], '') ELSE '*' END AS leaf FROM n{0} n LEFT JOIN w{0} w ON n.site = w.site AND n.leaf = w.leaf)"
+P7_TEMPLATES_SQL = (
+    _P7_LINES
+    + r""", d AS (SELECT DISTINCT site, key FROM k WHERE key <> '' AND site <> ''), x AS (SELECT site, key, list_transform(regexp_extract_all(key, '\p{N}+|\p{L}{1,6}'), lambda z: CASE WHEN regexp_matches(z, '^\p{N}') THEN '*' ELSE z END) AS t FROM d),
+n0 AS (SELECT site, key, t, CAST(len(t) AS VARCHAR) AS leaf FROM x)"""
+    + "".join(_LEVEL.format(i, i + 1) for i in range(3))
+    + """, placed AS (SELECT DISTINCT k.page_id, k.line_no, k.site, k.page, n.leaf FROM k JOIN n3 n ON k.site = n.site AND k.key = n.key), wide AS (SELECT site, leaf FROM placed GROUP BY 1, 2 HAVING count(DISTINCT page) >= 8),
+pos AS (SELECT site, leaf, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM n3 SEMI JOIN wide USING (site, leaf)), each AS (SELECT site, leaf, i, CASE WHEN min(tok) = max(tok) THEN min(tok) ELSE '*' END AS tok FROM pos GROUP BY 1, 2, 3), texts AS (SELECT site, leaf, string_agg(tok, ' ' ORDER BY i) AS template FROM each GROUP BY 1, 2)
+SELECT DISTINCT page_id, line_no, template FROM placed JOIN texts USING (site, leaf)"""
+)
+
+ORACLE: dict = {"p7_found": P7_SQL, "p7_clean": P7_CLEAN_SQL, "p7_templates": P7_TEMPLATES_SQL}

@@ -1,10 +1,11 @@
 """Lines that stand on many pages of one site.
 
-Lines are parsed into templates by token trees of fixed depth: the first levels are the site, the number of
-tokens and the first tokens, runs of digits being wildcard slots; lines of one leaf that share enough tokens
-become one template whose differing slots are wildcards. Each partition grows its own trees, equal
-leaves are merged, and templates that cover too few pages are dropped. Of the lines under the templates
-that remain, those repeated word for word on enough pages are the result.
+Lines are parsed into templates by a token tree of fixed depth: the first levels are the site and the number of tokens, the next
+ones the first tokens. Runs of digits are wildcard slots, and so is a level of a node that has too many children. All
+lines of a leaf are one template, whose other tokens are slots where the lines differ. A tree is known by its nodes' sets of children and its
+leaves' first and last tokens at each place, so partitions grow parts of it that merge as plain grouped aggregates. Templates
+that cover too few pages are dropped. Of the lines under those that remain, the ones repeated word for word on enough pages are
+``repeated_lines``; all of them are ``templated_lines``.
 
 A line's tokens are read from its letters and digits alone (its key), so lines that are the same by the
 key always stand under the same template, and the template's pages include all of theirs.
@@ -15,11 +16,10 @@ crawled again is one page; a line repeated within a page counts once but every o
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veyra.session import parallelism, stage
+from veyra.session import stage
 
 SLOT = "*"
 URL = r"^\s*(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@\s]*@)?([^/:?#\s]+)(?::\d*)?([^?#\s]*)"
@@ -47,100 +47,67 @@ def lines_of(pages: DataFrame, id_col: str = "page_id", url: str = "url", text:
     return out.filter("key != '' and site != ''")
 
 
-def with_path(lines: DataFrame, depth: int = 3, piece: int = 6) -> DataFrame:
-    """Adds tokens (runs of digits as a slot, runs of letters in pieces) and the tree path above the leaf."""
-    toks = F.transform(F.regexp_extract_all(F.col("key"), F.lit(rf"\p{{N}}+|\p{{L}}{{1,{piece}}}"), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}"), F.lit(SLOT)).otherwise(t))
-    return lines.withColumn("tokens", toks).withColumn("path", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)))
-
-
-def _merge(found: list[tuple[tuple[str, ...], int]], share: float, most: int) -> list[tuple[tuple[str, ...], int]]:
-    """Templates of one leaf with their counts, joined where ``share`` of the slots agree; beyond ``most`` templates the rest is all slots."""
-    out: list[list] = []
-    for toks, n in found:
-        best, score = None, share
-        for t in out:
-            s = sum(a == b for a, b in zip(t[0], toks)) / len(toks)
-            if s >= score and (best is None or s > score):
-                best, score = t, s
-        if best is None and len(out) >= most:
-            best = out[-1]
-        if best is None:
-            out.append([toks, n])
-        else:
-            best[0] = tuple(a if a == b else SLOT for a, b in zip(best[0], toks))
-            best[1] += n
-    return [(t, n) for t, n in out]
-
-
-def fits(template: list[str], toks: list[str]) -> bool:
-    return all(a == SLOT or a == b for a, b in zip(template, toks))
-
-
-def templates(keyed: DataFrame, share: float = 0.5, most: int = 64, leaves_held: int = 50_000) -> DataFrame:
-    """(site, path, templates): each leaf's merged templates, the most filled slots first."""
-
-    def grow(batches):
-        trees: dict[tuple[str, str], dict[tuple[str, ...], int]] = {}
-
-        def emit():
-            rows = [(s, p, " ".join(t)) for (s, p), leaf in trees.items() for t, _ in _merge(sorted(leaf.items()), share, most)]
-            return pd.DataFrame(rows, columns=["site", "path", "template"])
-
-        for pdf in batches:
-            for site, path, toks in zip(pdf["site"], pdf["path"], pdf["tokens"]):
-                leaf = trees.setdefault((site, path), {})
-                t = tuple(toks)
-                leaf[t] = leaf.get(t, 0) + 1
-                if len(leaf) > 4 * most:
-                    trees[site, path] = dict(_merge(sorted(leaf.items()), share, most))
-            if len(trees) > leaves_held:
-                yield emit()
-                trees.clear()
-        yield emit()
-
-    def join(batches):
-        for pdf in batches:
-            out = []
-            for found in pdf["found"]:
-                ts = [tuple(t.split(" ")) for t in sorted(found)]
-                ts = [t for t, _ in _merge([(t, 1) for t in ts], share, most)] if len(ts) > 1 else ts
-                out.append([" ".join(t) for t in sorted(ts, key=lambda t: (t.count(SLOT), t))])
-            yield pd.DataFrame({"site": pdf["site"], "path": pdf["path"], "templates": out})
-
-    local = keyed.select("site", "path", "tokens").mapInPandas(grow, "site string, path string, template string")
-    # a leaf gets at most ``most`` templates from each partition
-    parts = parallelism(keyed.sparkSession)
-    return local.groupBy("site", "path").agg(F.collect_set("template").alias("found")).repartition(parts).mapInPandas(join, "site string, path string, templates array<string>")
+LINE = ["site", "k1", "k2"]
 
 
-def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url: str = "url", text: str = "raw_markdown") -> DataFrame:
-    """(page_id, line_no) of every occurrence of a line that stands on at least ``least_pages`` pages of its site."""
-    # two 64-bit hashes stand for a line and one for a page, so that texts cross the network once
+def tokens_of(key: Column, piece: int = 6) -> Column:
+    """A key's tokens: runs of digits as slots, runs of letters in pieces."""
+    return F.transform(F.regexp_extract_all(key, F.lit(rf"\p{{N}}+|\p{{L}}{{1,{piece}}}"), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{N}"), F.lit(SLOT)).otherwise(t))
+
+
+def leaves(keys: DataFrame, depth: int = 3, children: int = 32) -> DataFrame:
+    """(site, k1, k2, leaf) for different lines (site, k1, k2, key): each line's leaf as the text of its path.
+
+    A level of a node with more than ``children`` different tokens is one slot there.
+    """
+    toks = tokens_of(F.col("key"))
+    out = keys.select(*LINE, toks.alias("t")).select(*LINE, F.size("t").cast("string").alias("leaf"), *[F.coalesce(F.get("t", F.lit(i)), F.lit("")).alias(f"t{i}") for i in range(depth)])
+    for i in range(depth):
+        wide = out.select("site", "leaf", f"t{i}").distinct().groupBy("site", "leaf").agg(F.count("*").alias("n")).filter(F.col("n") > children).select("site", "leaf", F.lit(SLOT).alias("slot"))
+        out = out.join(wide, ["site", "leaf"], "left").withColumn("leaf", F.concat_ws(" ", "leaf", F.coalesce("slot", f"t{i}"))).drop("slot", f"t{i}")
+    return out
+
+
+def template_texts(keys: DataFrame, placed: DataFrame) -> DataFrame:
+    """(site, leaf, template): the tokens all lines of a leaf share, slots elsewhere."""
+    at = placed.join(keys, LINE).select("site", "leaf", F.posexplode(tokens_of(F.col("key"))).alias("pos", "tok"))
+    each = at.groupBy("site", "leaf", "pos").agg(F.min("tok").alias("a"), F.max("tok").alias("z")).select("site", "leaf", "pos", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.lit(SLOT)).alias("tok"))
+    whole = each.groupBy("site", "leaf").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("x"))  # as many as a line has tokens
+    return whole.select("site", "leaf", F.array_join(F.transform("x", lambda x: x["tok"]), " ").alias("template"))
+
+
+def _placed(pages: DataFrame, least_pages: int, id_col: str, url: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(occurrences, different lines, lines of a page, lines under templates on at least ``least_pages`` pages)."""
+    # pages are read and cut once; two 64-bit hashes stand for a line and one for a page, so texts cross no network again
     lines = lines_of(pages, id_col, url, text)
-    hashed = lines.select("page_id", "line_no", "site", F.xxhash64("page").alias("pg"), F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(7)).alias("k2"), "key")
-    line = ["site", "k1", "k2"]
+    hashed = stage(lines.select("page_id", "line_no", "site", F.xxhash64("page").alias("pg"), F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(7)).alias("k2"), "key"), "lines")
     # one row for a line of a page; a hot site is spread by its lines
-    per_page = stage(hashed.select(*line, "pg").distinct(), "lines")
-    # trees grow from each line once, however many pages it stands on
-    keyed = with_path(stage(hashed.select(*line, "key").dropDuplicates(line), "keys"))
-    leaves = templates(keyed)
+    per_page = stage(hashed.select(*LINE, "pg").distinct(), "pages")
+    keys = stage(hashed.groupBy(*LINE).agg(F.first("key").alias("key")), "keys")
+    placed = stage(leaves(keys), "placed")
+    covered = per_page.join(placed, LINE).select("site", "leaf", "pg").distinct().groupBy("site", "leaf").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
+    return hashed, keys, per_page, placed.join(covered.select("site", "leaf"), ["site", "leaf"], "left_semi")
+
+
+def repeated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url: str = "url", text: str = "raw_markdown") -> DataFrame:
+    """(page_id, line_no) of every occurrence of a line that stands on at least ``least_pages`` pages of its site."""
+    hashed, _, per_page, kept = _placed(pages, least_pages, id_col, url, text)
+    exact = per_page.join(kept.select(*LINE), LINE, "left_semi").groupBy(*LINE).agg(F.count("pg").alias("pages")).filter(F.col("pages") >= least_pages).select(*LINE)
+    return hashed.select("page_id", "line_no", *LINE).join(exact, LINE, "left_semi").select("page_id", "line_no").distinct()
 
-    @F.pandas_udf("int")
-    def pick(ts: pd.Series, toks: pd.Series) -> pd.Series:
-        split: dict[str, list[str]] = {}
-        return pd.Series([next((i for i, t in enumerate(own) if fits(split.setdefault(t, t.split(" ")), tk)), -1) for own, tk in zip(ts, toks)], dtype="int32")
 
-    placed = keyed.select(*line, "path", "tokens").join(leaves, ["site", "path"]).select(*line, F.xxhash64("path").alias("leaf"), pick("templates", "tokens").alias("template"))
-    placed = stage(placed, "placed")
-    covered = per_page.join(placed, line).groupBy("site", "leaf", "template").agg(F.count_distinct("pg").alias("pages")).filter(F.col("pages") >= least_pages)
-    wanted = placed.join(covered, ["site", "leaf", "template"], "left_semi").select(*line)
-    exact = per_page.join(wanted, line, "left_semi").groupBy(*line).agg(F.count("pg").alias("pages")).filter(F.col("pages") >= least_pages).select(*line)
-    return hashed.select("page_id", "line_no", *line).join(exact, line, "left_semi").select("page_id", "line_no").distinct()
+def templated_lines(pages: DataFrame, least_pages: int = 8, id_col: str = "page_id", url: str = "url", text: str = "raw_markdown") -> DataFrame:
+    """(page_id, line_no, template) of every line whose template covers at least ``least_pages`` pages of its site, slots and all."""
+    hashed, keys, _, kept = _placed(pages, least_pages, id_col, url, text)
+    kept = stage(kept, "kept")
+    at = kept.join(template_texts(keys, kept), ["site", "leaf"]).select(*LINE, "template")
+    return hashed.select("page_id", "line_no", *LINE).join(at, LINE).select("page_id", "line_no", "template").distinct()
 
 
 def without_lines(pages: DataFrame, hits: DataFrame, id_col: str = "page_id", text: str = "raw_markdown") -> DataFrame:
     """(page_id, kept_text): each page's text without the lines in ``hits`` (page_id, line_no); a null text stays null."""
-    gone = hits.groupBy("page_id").agg(F.collect_set("line_no").alias("gone"))  # at most as many as a page has lines
+    # as many as a page has lines; a map finds each at once
+    gone = hits.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("line_no", F.lit(True)))).alias("gone"))
     src = pages.select(F.col(id_col).alias("page_id"), F.col(text).alias("text")).distinct().join(gone, "page_id", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", (i + 1).cast("int")))
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: F.element_at("gone", (i + 1).cast("int")).isNull())
     return src.select("page_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))
