@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,18 +205,24 @@ def token_cost(a: str, b: str) -> int | None:
 WORD, BEGINS, SHORT = 0, 1, 2
 
 
-def _keys(name: str) -> list[tuple[str, int]]:
-    """The index entries of a street's tokens: their deletion neighbourhoods, and beginnings, by which only tokens cut short meet others."""
-    out: set[tuple[str, int]] = set()
-    for t in name.split():
-        w = skeleton(t.rstrip("."))
-        if t.endswith("."):
-            out.add((w[:3], SHORT))
-        else:
-            out |= {(k, WORD) for k in deletions(w, allowed(len(w)))}
-            out.add((w[:3], BEGINS))
-    out.add(("=" + skeleton(name.replace(" ", "").replace(".", "")), WORD))
-    return sorted(out)
+@lru_cache(maxsize=100_000)
+def _token_keys(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed index entries of one street token and their roles: its deletion neighbourhood, and its beginning, by which only
+    tokens cut short meet others."""
+    w = skeleton(token.rstrip("."))
+    own = [(w[:3], SHORT)] if token.endswith(".") else [*((k, WORD) for k in sorted(deletions(w, allowed(len(w))))), (w[:3], BEGINS)]
+    return _hashed([k for k, _ in own]), np.array([r for _, r in own], dtype=np.int32)
+
+
+def _hashed(keys: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64).view(np.int64)
+
+
+def _keys(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, roles) of a street's tokens and of all of them written together, each once."""
+    parts = [_token_keys(t) for t in set(name.split())]
+    whole = _hashed(["=" + skeleton(name.replace(" ", "").replace(".", ""))])
+    return np.concatenate([whole, *(k for k, _ in parts)]), np.concatenate([np.array([WORD], dtype=np.int32), *(r for _, r in parts)])
 
 
 def origins(words: DataFrame, rare_share: float, evidence: float) -> DataFrame:
@@ -275,22 +283,23 @@ def same_place(records: DataFrame, rare_share: float = 0.05, evidence: float = 1
     block = ["loc", "kind", "num"]
     forms = rec.select(*block, "style", "name").distinct()
 
+    # forms and blocks go by 64-bit hashes through the index; what a collision lets in is compared and left out again
+    names = stage(forms.select(*block, "name").distinct().select(*block, "name", F.xxhash64(*block).alias("blk"), F.xxhash64(*block, "name").alias("fid")), "forms")
+
     def index(batches):
         for pdf in batches:
             ks = [_keys(n) for n in pdf["name"]]
-            rep = [len(k) for k in ks]
-            out = pdf.loc[pdf.index.repeat(rep)].reset_index(drop=True)
-            out["entry"] = [x for k in ks for x, _ in k]
-            out["role"] = [r for k in ks for _, r in k]
-            yield out
+            if ks:
+                n = [len(k) for k, _ in ks]
+                yield pd.DataFrame({"key": np.concatenate([k for k, _ in ks]) ^ np.repeat(pdf["blk"].to_numpy(), n), "fid": np.repeat(pdf["fid"].to_numpy(), n), "role": np.concatenate([r for _, r in ks])})
 
-    names = forms.select(*block, "name").distinct()
-    entries = stage(names.mapInPandas(index, "loc string, kind string, num string, name string, entry string, role int"), "entries")
+    entries = stage(names.select("name", "blk", "fid").mapInPandas(index, "key long, fid long, role int"), "entries")
     # index entries meet by sorting: even a few of them would be a large table to build on the driver
-    meet = lambda x, y: x.alias("a").join(y.alias("b").hint("merge"), [*block, "entry"]).filter("a.name != b.name").select(*block, F.least("a.name", "b.name").alias("a"), F.greatest("a.name", "b.name").alias("b"))
-    words, short = entries.filter(F.col("role") == WORD), entries.filter(F.col("role") == SHORT)
-    near = words.alias("a").join(words.alias("b").hint("merge"), [*block, "entry"]).filter("a.name < b.name").select(*block, F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-    near = near.unionByName(meet(short, entries.filter(F.col("role") != WORD))).distinct()
+    side = lambda role, c: entries.filter(role).select("key", F.col("fid").alias(c))
+    near = side(F.col("role") == WORD, "fa").join(side(F.col("role") == WORD, "fb").hint("merge"), "key").filter("fa < fb").select("fa", "fb")
+    cut = side(F.col("role") == SHORT, "fa").join(side(F.col("role") != WORD, "fb").hint("merge"), "key").filter("fa != fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
+    near = near.unionByName(cut).distinct().join(names.select(*block, F.col("name").alias("na"), F.col("fid").alias("fa")), "fa").join(names.select(*[F.col(c).alias(f"_{c}") for c in block], F.col("name").alias("nb"), F.col("fid").alias("fb")), "fb")
+    near = near.filter(" and ".join(f"{c} = _{c}" for c in block)).select(*block, F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
     def compare(batches):
         for pdf in batches:
