@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veyra.functions.geometry import clean_ring, ear_clip, in_triangle, locate
+from veyra.operators.proximity import ring_faults
 
 
 def area(t):
@@ -58,3 +59,21 @@ def test_shared_edges_leave_no_gap():
     t = np.array([[0, 0, 1, 0, 1, 1], [0, 0, 1, 1, 0, 1.0]])
     x = np.linspace(0, 1, 11)
     assert all(in_triangle(np.array([v]), np.array([v]), t[k : k + 1])[0] for v in x for k in (0, 1))
+
+
+def test_long_rings_clip_in_time_and_areas_add_up():
+    rng = np.random.default_rng(1)
+    angle, reach = np.sort(rng.random(20_000)) * 2 * np.pi, 1 + 0.9 * rng.random(20_000)
+    ring = np.stack([reach * np.cos(angle), reach * np.sin(angle)], 1)
+    forced = []
+    t = ear_clip(ring, forced)
+    area = np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 1, 1] - t[:, 0, 1]) * (t[:, 2, 0] - t[:, 0, 0])).sum()
+    x, y = ring[:, 0], ring[:, 1]
+    assert not forced and len(t) == len(ring) - 2 and abs(area - abs(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))) < 1e-6
+
+
+def test_crossed_rings_are_reported(spark):
+    ring = lambda *p: [{"lng": float(x), "lat": float(y)} for x, y in p]
+    rows = [(1, [ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]), (2, [ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)), ring((0, 0), (1, 1))]), (3, None), (None, [ring((0, 0))]), (4, [])]
+    df = spark.createDataFrame(rows, "district_id long, rings array<array<struct<lng double, lat double>>>")
+    assert {(r.region, r.ring_no): r.fault for r in ring_faults(df, "district_id").collect()} == {(1, 1): None, (2, 1): "crossed", (2, 2): "few"}

@@ -20,11 +20,47 @@ def _cross(a, b, c):
     return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
 
-def ear_clip(ring: np.ndarray) -> np.ndarray:
-    """Triangles (n - 2, 3, 2) of a simple polygon, by clipping ears.
+def _turn(a, b, c) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
-    A polygon of fewer than three vertices has none. Where a ring touches or crosses itself and
-    no clean ear is left, the vertex with the smallest area is clipped, so the loop always ends.
+
+class _Reflex:
+    """The corners that turn inwards, in a grid: only they can lie in an ear."""
+
+    def __init__(self, pts: list[tuple[float, float]], reflex: list[int]):
+        self.pts, self.lo = pts, (min(p[0] for p in pts), min(p[1] for p in pts))
+        hi = (max(p[0] for p in pts), max(p[1] for p in pts))
+        self.g = max(1, int(len(reflex) ** 0.5))
+        self.size = tuple(max((h - o) / self.g, 1e-300) for h, o in zip(hi, self.lo))
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        for v in reflex:
+            self.cells.setdefault(self._cell(pts[v]), set()).add(v)
+
+    def _cell(self, p) -> tuple[int, int]:
+        return tuple(min(self.g - 1, max(0, int((x - o) / s))) for x, o, s in zip(p, self.lo, self.size))
+
+    def drop(self, v: int) -> None:
+        self.cells.get(self._cell(self.pts[v]), set()).discard(v)
+
+    def within(self, a, b, c) -> bool:
+        """Whether a corner other than the triangle's own lies in it."""
+        (x0, y0), (x1, y1) = self._cell((min(a[0], b[0], c[0]), min(a[1], b[1], c[1]))), self._cell((max(a[0], b[0], c[0]), max(a[1], b[1], c[1])))
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > len(self.cells):
+            near = (v for (x, y), vs in self.cells.items() if x0 <= x <= x1 and y0 <= y <= y1 for v in vs)
+        else:
+            near = (v for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) for v in self.cells.get((x, y), ()))
+        for v in near:
+            p = self.pts[v]
+            if p not in (a, b, c) and _turn(a, b, p) >= 0 and _turn(b, c, p) >= 0 and _turn(c, a, p) >= 0:
+                return True
+        return False
+
+
+def ear_clip(ring: np.ndarray, forced: list[int] | None = None) -> np.ndarray:
+    """Triangles (n - 2, 3, 2) of a simple polygon, by clipping ears off a linked list of its corners.
+
+    A corner is tested against the inward corners near it alone. A polygon of fewer than three vertices has none. Where a ring touches or crosses
+    itself and no clean ear is left, the vertex with the smallest area is clipped, so the loop always ends; ``forced`` gets these vertices.
     """
     n = len(ring)
     if n < 3:
@@ -32,35 +68,46 @@ def ear_clip(ring: np.ndarray) -> np.ndarray:
     x, y = ring[:, 0], ring[:, 1]
     if np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) < 0:
         ring = ring[::-1]
-    left = list(range(n))
-    out = []
-    at, since = 0, 0
-    while len(left) > 3:
-        m = len(left)
-        i, j, k = left[at - 1], left[at], left[(at + 1) % m]
-        a, b, c = ring[i], ring[j], ring[k]
-        area = _cross(a, b, c)
-        ear = False
-        if area > 0:
-            rest = ring[[v for v in left if v not in (i, j, k)]]
-            inside = (_cross(a, b, rest) >= 0) & (_cross(b, c, rest) >= 0) & (_cross(c, a, rest) >= 0)
-            corner = (rest == a).all(1) | (rest == b).all(1) | (rest == c).all(1)
-            ear = not (inside & ~corner).any()
-        elif area == 0:
-            left.pop(at)  # a straight corner bounds no area
-            at, since = at % len(left), 0
+    pts = [tuple(p) for p in ring.tolist()]
+    before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+    area = lambda v: _turn(pts[before[v]], pts[v], pts[after[v]])
+    reflex = [area(v) < 0 for v in range(n)]
+    grid = _Reflex(pts, [v for v in range(n) if reflex[v]])
+    out, at, left, since = [], 0, n, 0
+
+    def cut(v: int) -> int:
+        i, k = before[v], after[v]
+        after[i], before[k] = k, i
+        if reflex[v]:
+            grid.drop(v)
+        for u in (i, k):  # a corner that turns outwards stays so as ears go
+            if reflex[u] and area(u) >= 0:
+                reflex[u] = False
+                grid.drop(u)
+        return i
+
+    while left > 3:
+        a, b, c = pts[before[at]], pts[at], pts[after[at]]
+        size = _turn(a, b, c)
+        if size == 0:  # a straight corner bounds no area
+            at, left, since = cut(at), left - 1, 0
             continue
-        if ear or since > m:
-            if not ear:
-                areas = [abs(_cross(ring[left[q - 1]], ring[left[q]], ring[left[(q + 1) % m]])) for q in range(m)]
-                at = int(np.argmin(areas))
-                a, b, c = ring[left[at - 1]], ring[left[at]], ring[left[(at + 1) % m]]
-            out.append((a, b, c))
-            left.pop(at)
-            at, since = at % len(left), 0
-        else:
-            at, since = (at + 1) % m, since + 1
-    out.append(tuple(ring[v] for v in left))
+        ear = size > 0 and not grid.within(a, b, c)
+        if not ear and since <= left:
+            at, since = after[at], since + 1
+            continue
+        if not ear:
+            v, best = at, at
+            for _ in range(left):
+                v = after[v]
+                best = v if abs(area(v)) < abs(area(best)) else best
+            at = best
+            a, b, c = pts[before[at]], pts[at], pts[after[at]]
+            if forced is not None:
+                forced.append(at)
+        out.append((a, b, c))
+        at, left, since = after[cut(at)], left - 1, 0
+    out.append((pts[before[at]], pts[at], pts[after[at]]))
     return np.array(out, dtype=np.float64)
 
 

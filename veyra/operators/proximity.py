@@ -93,12 +93,37 @@ def triangles(regions: DataFrame, id_col: str, rings: str = "rings") -> DataFram
     return src.mapInPandas(clip, "region long, hole boolean, t array<double>")
 
 
+def ring_faults(regions: DataFrame, id_col: str, rings: str = "rings") -> DataFrame:
+    """(region, ring_no, vertices, fault): rings that bound no plain area and whose triangles therefore can't be trusted.
+
+    ``few`` has under three corners, ``crossed`` meets itself: clipping found no ear, or the triangles' areas don't add up to the ring's.
+    Fault is null for a sound ring.
+    """
+
+    def check(batches):
+        for pdf in batches:
+            rows = []
+            for region, k, xs, ys in zip(pdf["region"], pdf["k"], pdf["xs"], pdf["ys"]):
+                ring, forced = clean_ring(xs, ys), []
+                t = ear_clip(ring, forced)
+                own = abs(float(np.sum(ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]))) if len(ring) else 0.0
+                parts = float(np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 1, 1] - t[:, 0, 1]) * (t[:, 2, 0] - t[:, 0, 0])).sum())
+                rows.append((region, k + 1, len(ring), "few" if len(ring) < 3 else "crossed" if forced or abs(parts - own) > 1e-9 * max(parts, 1e-300) + 1e-15 * float(np.abs(ring).max()) ** 2 * len(ring) else None))
+            yield pd.DataFrame(rows, columns=["region", "ring_no", "vertices", "fault"])
+
+    src = regions.filter(F.col(id_col).isNotNull() & F.col(rings).isNotNull()).select(F.col(id_col).cast("long").alias("region"), F.posexplode(rings).alias("k", "ring"))
+    src = src.filter("ring is not null").select("region", "k", F.transform("ring", lambda v: v["lng"]).alias("xs"), F.transform("ring", lambda v: v["lat"]).alias("ys"))
+    return src.mapInPandas(check, "region long, ring_no int, vertices int, fault string")
+
+
 def regions_of_points(points: DataFrame, regions: DataFrame, id_col: str, rings: str = "rings", per_leaf: int = 256, max_leaves: int = 4096, fit_sample: int = 50_000, points_a_task: int = 50_000) -> DataFrame:
     """(region, id) for each point (id, lat, lng) inside a region's outline and in none of its holes.
 
     The planes of the hierarchy are fitted to the centres of at most ``fit_sample`` triangles; every
     triangle is placed by them. Only the planes and the boxes of at most ``max_leaves`` leaves reach the
     driver and the executors. A leaf with many points is spread over salts that each get its triangles.
+    Borders belong to their region: a point on an edge that triangles of one region share comes out once, one on the
+    border of two regions comes out with each of them, and one on the edge of a hole lies in the hole.
     """
     spark = points.sparkSession
     tris = stage(triangles(regions, id_col, rings), "triangles")
@@ -128,7 +153,7 @@ def regions_of_points(points: DataFrame, regions: DataFrame, id_col: str, rings:
             p, leaf = tree.route(pdf["lng"].to_numpy(), pdf["lat"].to_numpy())
             yield pd.DataFrame({"leaf": leaf.astype(np.int32), "id": pdf["id"].to_numpy()[p], "lat": pdf["lat"].to_numpy()[p], "lng": pdf["lng"].to_numpy()[p]})
 
-    routed = points.select("id", "lat", "lng").mapInPandas(route, "leaf int, id long, lat double, lng double")
+    routed = stage(points.select("id", "lat", "lng").mapInPandas(route, "leaf int, id long, lat double, lng double"), "routed")
     busy = {r[0]: math.ceil(r[1] / points_a_task) for r in routed.groupBy("leaf").count().filter(F.col("count") > points_a_task).collect()}
     salts = F.coalesce(F.create_map(*[F.lit(x) for kv in busy.items() for x in kv])[F.col("leaf")], F.lit(1)) if busy else F.lit(1)
     left = routed.withColumn("salt", F.pmod(F.xxhash64("id", "lat", "lng"), salts).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veyra.operators.proximity import near_and_inside
+from veyra.operators.proximity import near_and_inside, ring_faults
 from veyra.operators.units import common_units, told_units
 
 
@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_and_inside(read("place_pins"), read("municipal_points"), read("districts"))
 
 
+def p1_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Every ring of every district with what is wrong with it, if anything."""
+    return ring_faults(spark.read.parquet(f"{d}/districts.parquet"), "district_id").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return told_units(spark.read.parquet(f"{d}/pricing.parquet")).filter("not plain").select("price_id", "eur_cents", "unit").distinct()
 
@@ -24,7 +29,7 @@ def p2_units(spark: SparkSession, d: str) -> DataFrame:
     return units.select("price_id", "eur_cents", "unit", "basis", F.round("confidence", 6).alias("confidence"), "uncertain").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_units": p2_units}
+QUERIES = {"p1_found": p1_found, "p1_rings": p1_rings, "p2_found": p2_found, "p2_units": p2_units}
 
 P1_SQL = """
 WITH pin AS (SELECT DISTINCT location_id AS id, lat, lng FROM place_pins
