@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veyra.plans import additional, dealt, further, geo, joins, linking, listing, nested, registry, relational, shaping, streams, texts, windows  # noqa: F401  (modules register their queries)
+from veyra.plans import additional, dealt, further, geo, joins, linking, listing, nested, registry, relational, rules, shaping, streams, texts, windows  # noqa: F401  (modules register their queries)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

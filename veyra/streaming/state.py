@@ -70,3 +70,65 @@ def liveness(stream: DataFrame, key: str, time: str, quiet: str = "1 day") -> Da
 def once(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """Each key once, however often its evidence arrives within ``late``."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def capped_counts(stream: DataFrame, time: str, key: str, order: str, cap: int) -> DataFrame:
+    """(day, key, n) so far: counts by day of the first ``cap`` keys of a day; later new keys of that day are not counted.
+
+    A day's state is its keys with their counts, at most ``cap``.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, counts = (list(x) for x in state.get) if state.exists else ([], [])
+        at = {v: i for i, v in enumerate(keys)}
+        for v in pd.concat(list(batches)).sort_values([time, order])[key]:
+            if v in at:
+                counts[at[v]] += 1
+            elif len(keys) < cap:
+                at[v] = len(keys)
+                keys.append(int(v))
+                counts.append(1)
+        state.update((keys, counts))
+        yield pd.DataFrame({"day": [k[0]] * len(keys), key: keys, "n": counts})
+
+    days = stream.filter(f"{key} is not null").withColumn("day", F.to_date(time)).select("day", time, key, order)
+    return days.groupBy("day").applyInPandasWithState(step, f"day date, {key} long, n long", "keys array<long>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def transitions(stream: DataFrame, key: str, kind: str, order: list[str]) -> DataFrame:
+    """(key, uncertain, settled) so far: how often an error, or a purchase, followed right after a click.
+
+    A key's state is its last kind of event and both counts.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, uncertain, settled = state.get if state.exists else ("", 0, 0)
+        for v in pd.concat(list(batches)).sort_values(order)[kind]:
+            uncertain += v == "error" and last == "click"
+            settled += v == "purchase" and last == "click"
+            last = v
+        state.update((last, int(uncertain), int(settled)))
+        yield pd.DataFrame({key: [k[0]], "uncertain": [int(uncertain)], "settled": [int(settled)]})
+
+    of = dict(stream.dtypes)[key]
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {of}, uncertain long, settled long", "last string, uncertain long, settled long", "update", GroupStateTimeout.NoTimeout)
+
+
+def attributed(stream: DataFrame, key: str, order: list[str], evidence: str) -> DataFrame:
+    """(key, deliveries, conflicts) so far: the first evidence of a key holds, other evidence is a conflict, the same again is none.
+
+    A delivery is a distinct row of a batch; a key's state is its first evidence and both counts.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, deliveries, conflicts, seen = state.get if state.exists else (None, 0, 0, False)
+        for v in pd.concat(list(batches)).drop_duplicates().sort_values(order)[evidence]:
+            v = None if v is None or v != v else v
+            if not seen:
+                first, seen = v, True
+            deliveries, conflicts = deliveries + 1, conflicts + (v != first)
+        state.update((first, deliveries, int(conflicts), seen))
+        yield pd.DataFrame({key: [k[0]], "deliveries": [deliveries], "conflicts": [int(conflicts)]})
+
+    of = dict(stream.dtypes)[key]
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {of}, deliveries long, conflicts long", "first string, deliveries long, conflicts long, seen boolean", "update", GroupStateTimeout.NoTimeout)
