@@ -58,11 +58,12 @@ def range_lookup(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.coalesce(*[F.when(F.col("p_size").between(lo, hi), F.lit(b)) for lo, hi, b in bands]).alias("band"))
 
 
-@query("""WITH one AS (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 8000 GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1) SELECT c_custkey, s_suppkey FROM customer JOIN one ON c_nationkey = s_nationkey""")
+@query("""WITH one AS (SELECT s_nationkey, floor(s_acctbal / 1000) AS band, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1, 2 HAVING count(DISTINCT s_suppkey) = 1) SELECT c_custkey, s_suppkey FROM customer JOIN one ON c_nationkey = s_nationkey AND floor(c_acctbal / 1000) = band""")
 def unique_match(t: Tables) -> DataFrame:
-    """Customers whose nation has exactly one rich supplier."""
-    s = t.supplier.filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    return unique_matches(t.customer.select("c_custkey", "c_nationkey"), s, ["c_nationkey"], "s_suppkey").select("c_custkey", "s_suppkey")
+    """Customers whose nation and band of balance have exactly one supplier."""
+    band = lambda c: F.floor(F.col(c) / 1000).alias("band")
+    s = t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), band("s_acctbal"), "s_suppkey")
+    return unique_matches(t.customer.select("c_custkey", "c_nationkey", band("c_acctbal")), s, ["c_nationkey", "band"], "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 TIERS = r"""WITH d AS (SELECT DISTINCT dz_id, trim(regexp_replace(lower(name_full), '[^\p{L}\p{N}]+', ' ', 'g')) AS nk, city FROM dz_responses WHERE name_full IS NOT NULL),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veyra.functions.columns import canonical_url, closed, finite, name_key
-from veyra.plans.registry import query
+from veyra.functions.columns import canonical_url, closed, finite, name_key, ratio
+from veyra.plans.listing import loose_spelling_search
+from veyra.plans.registry import ORACLE, query
 from veyra.plans.texts import CANON, KEY
 from veyra.sources.tables import Tables
 
@@ -303,3 +304,16 @@ def positions_with_fallback(t: Tables) -> DataFrame:
     m = t.municipal_points.filter(box).select("point_id", "city", "lat", "lng").distinct().groupBy("city").agg(F.round(F.median("lat"), 6).alias("mlat"), F.round(F.median("lng"), 6).alias("mlng"))
     s = t.schools.select("school_id", "city").distinct().join(a, "school_id", "left").join(m, "city", "left")
     return s.select("school_id", F.coalesce("v.lat", "mlat").alias("lat"), F.coalesce("v.lng", "mlng").alias("lng"), F.when(F.col("v").isNotNull(), "own pin").when(F.col("mlat").isNotNull(), "town").otherwise("none").alias("by_what"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT label_id FROM ({ORACLE['loose_spelling_search']})), l AS (SELECT DISTINCT label_id, verdict FROM identity_labels), j AS (SELECT l.verdict, h.label_id IS NOT NULL AS matched FROM l LEFT JOIN h USING (label_id))
+SELECT count(*) FILTER (WHERE verdict = 'known_good' AND matched) AS true_positive, count(*) FILTER (WHERE verdict = 'known_good' AND NOT matched) AS false_negative, count(*) FILTER (WHERE verdict = 'known_bad' AND matched) AS false_positive, count(*) FILTER (WHERE verdict = 'known_bad' AND NOT matched) AS true_negative,
+round(CAST(count(*) FILTER (WHERE verdict = 'known_good' AND matched) AS DOUBLE) / nullif(count(*) FILTER (WHERE verdict IN ('known_good', 'known_bad') AND matched), 0), 4) AS precision, round(CAST(count(*) FILTER (WHERE verdict = 'known_good' AND matched) AS DOUBLE) / nullif(count(*) FILTER (WHERE verdict = 'known_good'), 0), 4) AS recall FROM j""")
+def judged_matcher(t: Tables) -> DataFrame:
+    """The spelling matcher held against labelled good and bad cases."""
+    h = loose_spelling_search(t).select("label_id").distinct().withColumn("m", F.lit(True))
+    j = t.identity_labels.select("label_id", "verdict").distinct().join(h, "label_id", "left").select("verdict", closed(F.col("m")).alias("m"))
+    good, bad, m = closed(F.col("verdict") == "known_good"), closed(F.col("verdict") == "known_bad"), F.col("m")
+    a = j.agg(F.count_if(good & m).alias("true_positive"), F.count_if(good & ~m).alias("false_negative"), F.count_if(bad & m).alias("false_positive"), F.count_if(bad & ~m).alias("true_negative"))
+    tp = F.col("true_positive")
+    return a.select("*", ratio(tp, tp + F.col("false_positive")).alias("precision"), ratio(tp, tp + F.col("false_negative")).alias("recall"))

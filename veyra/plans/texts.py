@@ -61,10 +61,15 @@ def content_hash(t: Tables) -> DataFrame:
 p AS (SELECT DISTINCT {CANON} AS c, {KEY.format('raw_markdown')} AS body FROM pages WHERE raw_markdown IS NOT NULL AND url IS NOT NULL), mc AS (SELECT fee_id, q, {CANON.replace('(url)', '(page_url)')} AS c FROM m)
 SELECT mc.fee_id, count(p.c) > 0 AS page_known, coalesce(bool_or(contains(p.body, mc.q)), FALSE) AS quoted FROM mc LEFT JOIN p ON p.c = mc.c GROUP BY 1""")
 def evidence_containment(t: Tables) -> DataFrame:
-    """Whether a quote stands on its page, letters and digits compared: an equi-join on the page, then a containment test."""
+    """Whether a quote stands on its page, letters and digits compared: pages without quotes are left out before their texts travel,
+    and a page's quotes are tested where its text is, in one row."""
     m = t.missed_fees.filter("trim(evidence) != ''").select("fee_id", name_key(F.col("evidence")).alias("q"), canonical_url(F.col("page_url")).alias("c")).distinct()
-    p = t.pages.filter("raw_markdown is not null and url is not null").select(canonical_url(F.col("url")).alias("c"), name_key(F.col("raw_markdown")).alias("body"), F.lit(True).alias("known")).distinct()
-    return m.join(p, "c", "left").groupBy("fee_id").agg(F.count("known").alias("k"), F.coalesce(F.bool_or(F.col("body").contains(F.col("q"))), F.lit(False)).alias("quoted")).select("fee_id", (F.col("k") > 0).alias("page_known"), "quoted")
+    p = t.pages.filter("raw_markdown is not null and url is not null").select(canonical_url(F.col("url")).alias("c"), "raw_markdown")
+    known = p.select("c").distinct().withColumn("known", F.lit(True))
+    asked = p.join(m.select("c").distinct(), "c", "left_semi").select("c", name_key(F.col("raw_markdown")).alias("body"))
+    hit = m.join(asked, "c").filter(F.col("body").contains(F.col("q"))).select("fee_id").distinct().withColumn("hit", F.lit(True))
+    own = m.join(known, "c", "left").groupBy("fee_id").agg((F.count("known") > 0).alias("page_known"))
+    return own.join(hit, "fee_id", "left").select("fee_id", "page_known", F.coalesce("hit", F.lit(False)).alias("quoted"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS mails, len(regexp_extract_all(text, '(^|[^0-9])0[0-9]{1,2} [0-9]{3} [0-9]{4}')) AS phones, len(regexp_extract_all(text, 'https?://[^ \n)]+')) AS urls FROM documents WHERE text IS NOT NULL""")

@@ -116,10 +116,10 @@ def line_dedupe(t: Tables) -> DataFrame:
 @query(f"""WITH l AS ({LINES}), s AS (SELECT *, max(CASE WHEN line LIKE '%:' OR length(line) < 40 AND trim(line) <> '' THEN no END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS head FROM l)
 SELECT doc_id, head, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY 1, 2""")
 def section_state(t: Tables) -> DataFrame:
-    """Each line under the nearest heading before it."""
-    lines = _lines(t).withColumn("h", F.when(F.col("line").endswith(":") | ((F.length("line") < 40) & (F.trim("line") != "")), F.col("no")))
+    """Each line under the nearest heading before it; numbers and lengths are carried through the shuffle, never texts."""
+    lines = _lines(t).select("doc_id", "no", F.length("line").alias("n"), F.when(F.col("line").endswith(":") | ((F.length("line") < 40) & (F.trim("line") != "")), F.col("no")).alias("h"))
     s = carried(lines, ["doc_id"], [F.col("no")], F.col("h"), "head")
-    return s.groupBy("doc_id", "head").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+    return s.groupBy("doc_id", "head").agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("chars"))
 
 
 @query("""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM documents WHERE source IS NOT NULL),
