@@ -1,6 +1,6 @@
 import pytest
 
-from veyra.llm.language import LANGUAGES, found_languages, judge, known_label, languages, latinized, plain, train
+from veyra.llm.language import LANGUAGES, fit_model, found_languages, judge, known_label, languages, latinized, plain, train
 
 LINES = {
     "bg": ["Храната се приготвя на място, а менюто се окачва всеки понеделник.", "Всеки четвъртък децата имат рисуване в игротеката.", "Документите за записване се подават в канцеларията.", "Цената за нови деца остава старата през лятото.", "Попитах за двора и ми казаха, че ремонтът ще приключи скоро."],
@@ -52,3 +52,16 @@ def test_tables(spark, sample):
     assert got == {(101, 0, "bg"), (102, 0, "en"), (105, 0, "de")}
     assert languages(spark.createDataFrame([], cols)).count() == 0
     assert languages(spark.createDataFrame([(1, LINES["bg"][0], None, 1, 0.0)], cols)).count() == 1
+
+
+def test_confidences_hold_on_other_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_model(docs.filter("doc_id % 2 = 0"))
+    # labels are noisy, so four words are held against what the whole text is told to be
+    texts = [r.text for r in docs.filter("doc_id % 2 = 1 and length(text) > 200").collect()]
+    whole = judge(model, texts)
+    cut = judge(model, [" ".join(t.split()[5:9]) for t in texts])
+    got = [(c[1], c[0] == w[0]) for c, w in zip(cut, whole) if c and w and len(w[2]) == 0]
+    sure, other = [ok for c, ok in got if c >= 0.9], [ok for c, ok in got if c < 0.7]
+    assert len(sure) > 50 and sum(sure) / len(sure) >= 0.9
+    assert not other or sum(other) / len(other) < sum(sure) / len(sure)

@@ -6,7 +6,7 @@ rest, is fitted on labelled lines through Nystrom landmarks; as the kernel is li
 landmarks' weights fold into one matrix, and batches of lines are scored by one matrix product.
 
 Labels are noisy, so lines that a first fit puts elsewhere are left out of the second. Bulgarian in Latin letters is learnt
-from Bulgarian lines spelt in the usual Latin ways.
+from Bulgarian lines spelt in the usual Latin ways. Confidences are calibrated on held-out lines cut to all lengths.
 
 Letters beyond U+2FFF (Chinese, Japanese, Korean) are of none of these languages: they count for none, and a text of them alone has no
 words here.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veyra.llm.text import CYR_TO_LAT
+from veyra.llm.text import CYR_TO_LAT, calibrate
 
 LANGUAGES = ["bg", "en", "ru", "mk", "de", "fr", "tr", "es"]
 # Usual names and codes of the languages, lower case.
@@ -120,8 +120,13 @@ class Grams:
 class LanguageModel:
     """Weights of all languages by n-gram, folded out of landmarks."""
 
-    def __init__(self, grams: Grams, weights: np.ndarray):
-        self.grams, self.weights = grams, weights
+    def __init__(self, grams: Grams, weights: np.ndarray, curve: tuple[float, float] = (1.0, 0.0)):
+        self.grams, self.weights, self.curve = grams, weights, curve
+
+    def confidence(self, margin: float, letters: float) -> float:
+        """How sure a margin over ``letters`` letters is, by the curve fitted to held-out lines."""
+        z = self.curve[0] * margin * np.sqrt(letters) + self.curve[1]
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def scores(self, text: str, lines_a_batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """(lines x languages scores, letters of each line)."""
@@ -195,7 +200,31 @@ def train(sample: list[tuple[str, str]], first: int = 6000, a_language: int = 12
     chosen = np.concatenate([rng.permutation(agreed[y[agreed] == k])[:a_language] for k in range(len(LANGUAGES))])
     bg = [i for i in agreed[y[agreed] == 0] if _CYR.search(lines[i].lower())]
     some = [spelt(bg[i]) for i in rng.permutation(len(bg))[:a_language]]
-    return fit([lines[i] for i in chosen] + some, [*y[chosen], *[0] * len(some)])
+    # a tenth of the lines picked is held out; cut to any number of words they tell how far a margin can be trusted
+    chosen = rng.permutation(chosen)
+    held, chosen = chosen[: len(chosen) // 10], chosen[len(chosen) // 10 :]
+    model = fit([lines[i] for i in chosen] + some, [*y[chosen], *[0] * len(some)])
+    model.curve = trust(model, [lines[i] for i in held], y[held], rng)
+    return model
+
+
+def trust(model: LanguageModel, lines: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
+    """The logistic curve from margin times root of letters to the share of right answers, on stretches of held-out lines."""
+    parts, want = [], []
+    for line, k in zip(lines, labels):
+        ws = line.replace("\n", " ").split()
+        for n in (1, 2, 4, 8):
+            if len(ws) >= n:
+                at = int(rng.integers(len(ws) - n + 1))
+                parts.append(" ".join(ws[at : at + n]).lower())
+                want.append(k)
+    if not parts:
+        return 1.0, 0.0
+    s, letters = model.scores("\n".join(parts))
+    top = np.sort(s, axis=1)
+    use = letters > 0
+    z, right = ((top[:, -1] - top[:, -2]) * np.sqrt(letters))[use], (s.argmax(1) == np.array(want))[use]
+    return calibrate(z, right.astype(float)) if len(z) >= 20 and 0 < right.sum() < len(z) else (1.0, 0.0)
 
 
 def plain(text: str) -> str:
@@ -216,7 +245,6 @@ def judge(model: LanguageModel, texts: list[str], slack: float = 2.4, short: int
     """
     clean = [plain(t).lower() for t in texts]
     scores, counts = model.scores("\n".join(clean))
-    conf = lambda z: float(1 / (1 + np.exp(-min(30.0, z))))
     out, start = [], 0
     own_all = scores.argmax(1)
     for t in clean:
@@ -232,9 +260,9 @@ def judge(model: LanguageModel, texts: list[str], slack: float = 2.4, short: int
         other = np.flatnonzero((own != lang) & (letters > 0))
         margin = s[other, own[other]] - s[other, lang]
         z = margin * np.sqrt(letters[other]) / slack * np.minimum(1.0, letters[other] / short)
-        found = [(int(i) + 1, int(own[i]), conf(3 * (v - 1) + 1)) for i, v in zip(other, z) if v > 1]
-        top = np.sort(total)
-        out.append((lang, conf(6 * (top[-1] - top[-2]) * np.sqrt(min(letters.sum(), 400) / 100)), found))
+        found = [(int(i) + 1, int(own[i]), model.confidence(m, letters[i])) for i, m, v in zip(other, margin, z) if v > 1]
+        rival = max(total[k] for k in range(len(total)) if k != lang)
+        out.append((lang, model.confidence(total[lang] - rival, letters.sum()), found))
     return out
 
 

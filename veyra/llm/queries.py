@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veyra.llm.addresses import same_place
 from veyra.llm.canonical import fee_values, known_aliases, map_to_list
-from veyra.llm.entities import institution_records, same_institution
+from veyra.llm.entities import institution_records, judged, same_institution
 from veyra.llm.language import found_languages, languages
 from veyra.llm.mainbody import main_body
 from veyra.llm.mixing import mix, mix_report
@@ -28,6 +28,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matches(spark, d).select("a_key", "b_key")
 
 
+def p4_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The matcher held against labels known to be good and bad."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    records = institution_records(read("dz_responses"), read("identity_labels"), read("municipal_points"), known_bad=True)
+    return judged(same_institution(records), read("identity_labels"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     dz = spark.read.parquet(f"{d}/dz_responses.parquet").selectExpr("dz_id as id", "address", "city")
     points = spark.read.parquet(f"{d}/municipal_points.parquet").selectExpr("point_id as id", "address", "city")
@@ -81,7 +88,7 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_templates": p7_templates, "p7_untemplated": p7_untemplated, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+QUERIES: dict = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p4_judged": p4_judged, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_clean": p7_clean, "p7_templates": p7_templates, "p7_untemplated": p7_untemplated, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 _P7_LINES = r"""
 WITH p AS (SELECT DISTINCT page_id, url, raw_markdown FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL AND raw_markdown IS NOT NULL),

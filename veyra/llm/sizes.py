@@ -1,4 +1,4 @@
-"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file is read where it lies."""
+"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file the driver reads where it lies and ships."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import base64
 import os
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +16,14 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text, read whole; null for null. The vocabulary is read once a worker process."""
+    """Tokens of a text, read whole; null for null. The vocabulary is read once a worker process, from the file that ``sized`` ships."""
     held: dict[str, object] = {}
 
     def encoder():
         if "e" not in held:
             import tiktoken
 
-            with open(path, "rb") as f:
+            with open(SparkFiles.get(os.path.basename(path)), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             held["e"] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return held["e"]
@@ -38,5 +39,6 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """(doc_id, *keep, tokens) of the documents that have an id; a null text has no tokens."""
     path = path or os.environ.get("VEYRA_TOKENIZER", TOKENIZER)
+    docs.sparkSession.sparkContext.addFile(path)  # the driver's file goes to every executor; the same path again is no second file
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(token_count(F.col(text), path), F.lit(0)).cast("long").alias("tokens"))
     return src

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+
 # The public transliteration of Bulgarian, and Latin letters that look like Cyrillic ones.
 CYR_TO_LAT = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
@@ -35,7 +37,7 @@ def latin(token: str) -> str:
 
 # Latin spellings of Cyrillic letters, longest first, and letters that spellings confuse.
 LAT_TO_CYR = (("sht", "щ"), ("tsh", "ч"), ("zh", "ж"), ("ch", "ч"), ("sh", "ш"), ("ts", "ц"), ("tz", "ц"), ("kh", "х"), ("yu", "ю"), ("ju", "ю"), ("iu", "ю"), ("ya", "я"), ("ja", "я"), ("ia", "я"), ("yo", "йо"), ("x", "кс"))
-LAT_LETTERS = str.maketrans("abcdefghijklmnopqrstuvwyz", "абцдефгхижклмнопярстувви" + "з")
+LAT_LETTERS = str.maketrans("abcdefghijklmnopqrstuvwyz", "абцдефгхижклмнопярстуввиз")
 FOLDED = str.maketrans({"ъ": "а", "й": "и", "ь": "и", "ё": "е", "ѝ": "и", "ы": "и", "э": "е"})
 
 
@@ -82,3 +84,18 @@ def deletions(word: str, most: int = 1) -> set[str]:
         layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
         out |= layer
     return out
+
+
+def calibrate(scores: np.ndarray, match: np.ndarray) -> tuple[float, float]:
+    """Weights of a logistic curve from score to confidence, by Newton's method with a slight pull to zero."""
+    x = np.stack([scores, np.ones_like(scores)], 1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - match) + 1e-3 * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
