@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import SparkFiles
@@ -15,22 +16,23 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text, read whole; null for null. The vocabulary is read once a worker process, from the file that ``sized`` ships."""
-    held: dict[str, object] = {}
+@lru_cache(maxsize=2)
+def encoder(name: str):
+    """The tokenizer of a shipped vocabulary file, held by the worker process from task to task."""
+    import tiktoken
+
+    with open(SparkFiles.get(name), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encoder():
-        if "e" not in held:
-            import tiktoken
 
-            with open(SparkFiles.get(os.path.basename(path)), "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            held["e"] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return held["e"]
+def token_count(text: Column, path: str = TOKENIZER) -> Column:
+    """Tokens of a text, read whole; null for null. The vocabulary is read once a worker process, from the file that ``sized`` ships."""
+    name = os.path.basename(path)
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        e = encoder()
+        e = encoder(name)
         return pd.Series([None if t is None else len(e.encode_ordinary(t)) for t in s], dtype="Int64")
 
     return count(text)
