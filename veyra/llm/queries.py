@@ -120,4 +120,9 @@ pos AS (SELECT site, leaf, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM
 SELECT DISTINCT page_id, line_no, template FROM placed JOIN texts USING (site, leaf)"""
 )
 
-ORACLE: dict = {"p7_found": P7_SQL, "p7_clean": P7_CLEAN_SQL, "p7_templates": P7_TEMPLATES_SQL}
+_HIT_PAGES = """, gone AS (SELECT DISTINCT page_id, line_no FROM placed JOIN wide USING (site, leaf)), numbered AS (SELECT p.page_id, l.line, l.line_no FROM p JOIN l USING (page_id)),
+kept AS (SELECT n.page_id, string_agg(n.line, chr(10) ORDER BY n.line_no) AS kept_text FROM numbered n LEFT JOIN gone h ON n.page_id = h.page_id AND n.line_no = h.line_no WHERE h.page_id IS NULL GROUP BY n.page_id)
+SELECT a.page_id, CASE WHEN a.raw_markdown IS NULL THEN NULL ELSE coalesce(k.kept_text, '') END AS kept_text FROM (SELECT DISTINCT page_id, raw_markdown FROM pages) a LEFT JOIN kept k USING (page_id)"""
+P7_UNTEMPLATED_SQL = P7_TEMPLATES_SQL[: P7_TEMPLATES_SQL.index(",\npos AS")] + _HIT_PAGES
+
+ORACLE: dict = {"p7_found": P7_SQL, "p7_clean": P7_CLEAN_SQL, "p7_templates": P7_TEMPLATES_SQL, "p7_untemplated": P7_UNTEMPLATED_SQL}
