@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veyra.functions.columns import canonical_url, closed, finite, name_key, ratio
+from veyra.functions.columns import canonical_url, closed, finite, hash_share, name_key, ratio
 from veyra.plans.listing import loose_spelling_search
 from veyra.plans.registry import ORACLE, query
 from veyra.plans.texts import CANON, KEY
@@ -317,3 +317,29 @@ def judged_matcher(t: Tables) -> DataFrame:
     a = j.agg(F.count_if(good & m).alias("true_positive"), F.count_if(good & ~m).alias("false_negative"), F.count_if(bad & m).alias("false_positive"), F.count_if(bad & ~m).alias("true_negative"))
     tp = F.col("true_positive")
     return a.select("*", ratio(tp, tp + F.col("false_positive")).alias("precision"), ratio(tp, tp + F.col("false_negative")).alias("recall"))
+
+
+@query("""SELECT DISTINCT price_id, category, CASE WHEN category IS NOT NULL THEN period END AS period, CASE WHEN category = 'tuition' THEN age_group END AS age_group, (category IS NULL AND period IS NOT NULL) OR (category IS DISTINCT FROM 'tuition' AND age_group IS NOT NULL) AS was_reset FROM pricing""")
+def filter_states(t: Tables) -> DataFrame:
+    """States of filters in which those that depend on another one are reset where it doesn't allow them."""
+    c = F.col("category")
+    tuition = closed(c == "tuition")
+    reset = (c.isNull() & F.col("period").isNotNull()) | (~tuition & F.col("age_group").isNotNull())
+    return t.pricing.select("price_id", "category", F.when(c.isNotNull(), F.col("period")).alias("period"), F.when(tuition, F.col("age_group")).alias("age_group"), reset.alias("was_reset")).distinct()
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice, o_orderkey) AS place FROM orders WHERE o_totalprice <= 150000), h AS (SELECT o_custkey, count(*) AS hidden FROM orders WHERE o_totalprice > 150000 GROUP BY 1)
+SELECT o.o_custkey, o.place, o.o_orderkey, coalesce(h.hidden, 0) AS hidden FROM o LEFT JOIN h USING (o_custkey)""")
+def budgeted_options(t: Tables) -> DataFrame:
+    """Options of each owner grouped by priority and sorted in the group, those over the budget counted as hidden."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_totalprice", "o_orderkey")
+    o = t.orders.filter("o_totalprice <= 150000").select("o_custkey", F.row_number().over(w).cast("long").alias("place"), "o_orderkey")
+    h = t.orders.filter("o_totalprice > 150000").groupBy("o_custkey").agg(F.count("*").alias("hidden"))
+    return o.join(h, "o_custkey", "left").select("o_custkey", "place", "o_orderkey", F.coalesce("hidden", F.lit(0)).alias("hidden"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT page_id, {HOST.format('url')} AS h FROM pages WHERE url IS NOT NULL), w AS (SELECT page_id, h, CAST(floor(CAST(concat('0x', substr(sha256(h), 1, 8)) AS BIGINT) / 4294967296.0 * 8) AS BIGINT) AS worker FROM p) SELECT page_id, worker, row_number() OVER (PARTITION BY h ORDER BY page_id) AS turn FROM w""")
+def worker_turns(t: Tables) -> DataFrame:
+    """Work spread over eight workers so that the pages of one site go to one, in their order."""
+    p = t.pages.filter("url is not null").select("page_id", host("url").alias("h")).distinct()
+    return p.select("page_id", F.floor(hash_share(F.col("h")) * 8).alias("worker"), F.row_number().over(Window.partitionBy("h").orderBy("page_id")).cast("long").alias("turn"))
