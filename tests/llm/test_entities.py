@@ -1,7 +1,7 @@
 import numpy as np
 
 from veyra.llm.addresses import assign
-from veyra.llm.entities import candidates, centred, parse, planes_for, same_institution, start_vectors, tables_for, train, unit
+from veyra.llm.entities import candidates, centred, features, fit_vectors, parse, planes_for, same_institution, start_vectors, tables_for, train, unit
 
 COLS = "src string, id long, name string, city string, kind string, address string"
 R = [
@@ -114,5 +114,18 @@ def test_the_trained_vectors_decide(spark):
     assert len(wrong) <= 0.02 * len(trained)
 
 
+def test_all_ends_fit_the_vectors_however_many_they_are(spark):
+    rng = np.random.default_rng(6)
+    names = sorted({f"{slipped(rng, a + ' ' + b)}" for a in FIRSTS for b in SECONDS})
+    ends = spark.createDataFrame([("л", "dg", i, n, None, None, None) for i, n in enumerate(names)], "loc string, type string, end long, name string, lead string, num string, place string")
+    start, vec = start_vectors(1 << 14, 32, np.random.default_rng(5)), fit_vectors(ends, len(names) // 10)
+    met = np.zeros(len(vec), dtype=bool)
+    met[[f for n in names for f in features(n, len(vec))]] = True
+    # features of no name keep their start but for one map of them all; one of any name has left it
+    start = np.c_[start, np.ones(len(start))]
+    off = np.linalg.norm(start @ np.linalg.lstsq(start[~met], vec[~met], rcond=None)[0] - vec, axis=1)
+    assert off[~met].max() < 1e-3 < 1e-2 < off[met].min()
+
+
 def test_empty(spark):
     assert same_institution(spark.createDataFrame([], COLS)).count() == 0

@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veyra.llm.addresses import assign, same_place, two_names
@@ -153,7 +153,13 @@ def train(nodes: list[tuple[str, ...]], buckets: int = 1 << 14, dim: int = 32, p
             pairs -= 32
         centre += arr[x[ok]].tolist()
         context += arr[y[ok]].tolist()
-    c, o = np.array(centre), np.array(context)
+    vec = learnt(vec, np.array(centre), np.array(context), rng)
+    return centred(vec, [row[0] for row in nodes if row[0]])
+
+
+def learnt(vec: np.ndarray, c: np.ndarray, o: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Skip-gram vectors from the examples that feature ``c`` stands beside feature ``o``, started at ``vec``, which changes."""
+    buckets, dim = vec.shape
     out = np.zeros_like(vec)
     # frequent features are drawn less often as noise than they occur
     count = np.bincount(o, minlength=buckets) ** 0.75
@@ -177,18 +183,25 @@ def train(nodes: list[tuple[str, ...]], buckets: int = 1 << 14, dim: int = 32, p
                 hit = rows[by][first]
                 new = table[hit] - lr * move / np.sqrt(held)[:, None]
                 table[hit] = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True) / 3, 1)
-    vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
-    return centred(vec, [row[0] for row in nodes if row[0]])
+    return vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
+
+
+def moments(names, vec: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sum and sum of outer products of the names' mean features."""
+    rows = np.stack([vec[features(n, len(vec))].mean(0) for n in names]).astype(float)
+    return len(rows), rows.sum(0), rows.T @ rows
 
 
 def centred(vec: np.ndarray, names: list[str]) -> np.ndarray:
     """What all names have in common tells none apart: their mean goes, and their main directions count less; little of either where names are few."""
-    names, dim = sorted(set(names)), vec.shape[1]
-    rows = np.stack([vec[features(n, len(vec))].mean(0) for n in names])
-    mean = rows.mean(0)
-    spread = (rows - mean).T @ (rows - mean)
-    known = len(names) / (len(names) + dim)
-    val, axes = np.linalg.eigh(known * spread / len(names) + ((1 - known) * np.trace(spread) / len(names) / dim + 1e-6) * np.eye(dim))
+    return levelled(vec, *moments(sorted(set(names)), vec))
+
+
+def levelled(vec: np.ndarray, n: int, total: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """``centred`` by the moments of all different names."""
+    dim, mean, known = vec.shape[1], total / n, n / (n + vec.shape[1])
+    spread = outer / n - np.outer(mean, mean)
+    val, axes = np.linalg.eigh(known * spread + ((1 - known) * np.trace(spread) / dim + 1e-6) * np.eye(dim))
     return ((vec - known * mean) @ (axes / val**0.25)).astype(np.float32)
 
 
@@ -317,21 +330,110 @@ def known_numbers(rec: DataFrame, records: DataFrame) -> DataFrame:
     return told.unionByName(near)
 
 
-def fit_vectors(ends: DataFrame, fit_sample: int, seed: int = 5) -> np.ndarray:
-    """Trains on at most ``fit_sample`` ends, drawn by institution so that its writings come together."""
-    n = max(1, ends.count())
-    by = F.xxhash64("loc", "type", F.coalesce("num", "name"), F.lit(seed))
-    some = ends if n <= fit_sample else ends.filter(F.pmod(by, F.lit(1_000_000)) < int(1_200_000 * fit_sample / n))
-    rows = some.orderBy(by, "end").limit(fit_sample).select("loc", "type", "num", "name", "place").collect()
-    key = lambda r, v: f"{r.loc} {r.type} {v}" if v else ""
-    return train([(r.name or "", key(r, r.num), key(r, r.place)) for r in rows], seed=seed)
+def walked(ends: DataFrame, walks: int = 2, stops: int = 4, seed: int = 5) -> DataFrame:
+    """(x, y, weight): the words that walks bring together, over the whole graph: ``walks`` of them from every end with a name.
+
+    A walk goes end - attribute - end, each holder of an attribute as likely as any other, and takes a word at each stop.
+    """
+    named = F.col("name") != ""
+    local = lambda c: F.when(F.col(c) != "", F.xxhash64(F.lit(c), "loc", "type", c))
+    attrs = F.array_compact(F.array(F.when(named, F.xxhash64(F.lit("name"), "name")), local("num"), local("place")))
+    held = ends.select("end", "name", F.explode(attrs).alias("attr"))
+    holders = Window.partitionBy("attr")
+    held = held.select("*", (F.row_number().over(holders.orderBy("end")) - 1).alias("pos"), F.count("*").over(holders).alias("n"))
+    held = stage(held, "holders")
+    hops = held.groupBy("end").agg(F.array_sort(F.collect_list(F.struct("attr", "n"))).alias("hops"))
+    stop = stage(held.drop("n").join(hops, "end"), "stops")
+
+    pick = lambda what, s, n: F.pmod(F.xxhash64("walk", F.lit(what), F.lit(s), F.lit(seed)), n)
+
+    def word(s):
+        ws = F.split("name", " ")
+        return F.when(named, F.element_at(ws, (pick("word", s, F.size(ws)) + 1).cast("int")))
+
+    at = stop.filter(named).select("end", "name", "hops").distinct()
+    at = at.select(F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("k"), "*").withColumn("walk", F.xxhash64("end", "k"))
+    at = at.select("walk", "hops", F.array(word(0)).alias("words"))
+    for s in range(1, stops):
+        at = at.select("walk", "words", F.element_at("hops", (pick("attr", s, F.size("hops")) + 1).cast("int")).alias("hop"))
+        at = at.select("walk", "words", F.col("hop.attr").alias("attr"), pick("pos", s, F.col("hop.n")).alias("pos"))
+        at = at.join(stop.select("attr", "pos", "name", "hops"), ["attr", "pos"])
+        at = at.select("walk", "hops", F.concat("words", F.array(word(s))).alias("words"))
+
+    # of a walk's features any two are as likely a pair; the weight is that of two features, as a whole number, so that sums are exact
+    w = at.select(F.array_compact("words").alias("ws"))
+    count = F.aggregate("ws", F.lit(0), lambda n, x: n + F.when(x.rlike(r"^\p{Nd}"), 1).otherwise(2 * F.length(x) + 2))
+    w = w.select("ws", F.greatest(F.round(F.lit(1e9) / count / count), F.lit(1)).cast("long").alias("one"))
+    w = w.select("one", "ws", F.posexplode("ws").alias("i", "a")).select("one", "i", "a", F.posexplode("ws").alias("j", "b")).filter("i <= j")
+    both = F.when((F.col("i") < F.col("j")) & (F.col("a") == F.col("b")), F.col("one") * 2).otherwise(F.col("one"))
+    return w.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum(both).alias("weight"))
+
+
+def beside(words: DataFrame, buckets: int) -> DataFrame:
+    """(c, o, weight) with c < o: how often two features stand in one walk, by the pairs of ``walked``; at most ``buckets`` squared rows."""
+
+    def spread(batches):
+        fx: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for start in range(0, len(pdf), 2000):
+                keys, weights = [], []
+                for x, y, w in zip(*(pdf[k].iloc[start : start + 2000] for k in ("x", "y", "weight"))):
+                    if len(fx) > 200_000:
+                        fx.clear()
+                    for t in (x, y):
+                        if t not in fx:
+                            fx[t] = np.array(features(t, buckets), dtype=np.int64)
+                    a, b = np.repeat(fx[x], len(fx[y])), np.tile(fx[y], len(fx[x]))
+                    keys.append(np.minimum(a, b) * buckets + np.maximum(a, b))
+                    weights.append(np.full(len(a), w if x == y else 2 * w))
+                key, weight = np.concatenate(keys), np.concatenate(weights)
+                by = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(key[by]) > 0])
+                got = key[by][first]
+                out = pd.DataFrame({"c": got // buckets, "o": got % buckets, "weight": np.add.reduceat(weight[by], first)})
+                yield out[out["c"] != out["o"]]
+
+    words = words.repartition(parallelism(words.sparkSession), "x", "y")
+    return words.mapInPandas(spread, "c long, o long, weight long").groupBy("c", "o").agg(F.sum("weight").alias("weight"))
+
+
+def fit_vectors(ends: DataFrame, examples: int, buckets: int = 1 << 14, dim: int = 32, least: int = 32, seed: int = 5) -> np.ndarray:
+    """Skip-gram vectors (buckets, dim) of token features from walks of all ``ends``, however many there are.
+
+    The walks' pairs are counted where they are. The steps of learning are drawn by these counts: about ``examples``, and about
+    ``least`` for every feature that any walk meets, so none keeps its random start because a table is large.
+    """
+    rng = np.random.default_rng(seed)
+    vec = start_vectors(buckets, dim, rng)
+    met = stage(beside(walked(ends, seed=seed), buckets), "beside")
+    met = met.unionByName(met.select(F.col("o").alias("c"), F.col("c").alias("o"), "weight"))
+    of = met.groupBy("c").agg(F.sum("weight").cast("double").alias("all"))
+    every = of.agg(F.sum("all")).first()[0] or 1.0
+    rate = F.col("weight") * F.greatest(F.lit(examples / every), least / F.col("all"))
+    chance = F.pmod(F.xxhash64("c", "o", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    drawn = met.join(of, "c").select("c", "o", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).alias("n")).filter("n > 0")
+    drawn = drawn.toPandas().sort_values(["c", "o"])  # at most about examples + least * buckets rows
+    if len(drawn):
+        vec = learnt(vec, *(np.repeat(drawn[k].to_numpy(), drawn["n"]) for k in ("c", "o")), rng)
+
+    def sums(batches):
+        got = [moments(pdf["name"], vec) for pdf in batches if len(pdf)]
+        if got:
+            n, total, outer = (sum(x) for x in zip(*got))
+            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [outer.ravel().tolist()]})
+
+    names = ends.filter("name != ''").select("name").distinct()
+    got = names.mapInPandas(sums, "n long, total array<double>, square array<double>").toPandas()  # a row for each partition
+    if not len(got):
+        return vec
+    return levelled(vec, int(got["n"].sum()), np.sum(got["total"].tolist(), axis=0), np.sum(got["square"].tolist(), axis=0).reshape(dim, dim))
 
 
-def same_institution(records: DataFrame, fit_sample: int = 20_000, aim: float = 0.75, recall: float = 0.95, least_cosine: float = 0.6, least: float = 0.5, rare_share: float = 0.05, evidence: float = 10.0, fit=None) -> DataFrame:
+def same_institution(records: DataFrame, examples: int = 600_000, aim: float = 0.75, recall: float = 0.95, least_cosine: float = 0.6, least: float = 0.5, rare_share: float = 0.05, evidence: float = 10.0, fit=None) -> DataFrame:
     """(a_key, b_key, confidence) for records of two different sources that mean one institution.
 
-    ``records`` has (src, id, name, city, kind, address). Vectors are fitted to at most ``fit_sample`` records (``fit``: another
-    way to get them); every record is hashed and compared. Names alone must reach ``least_cosine``, which spares the exact check
+    ``records`` has (src, id, name, city, kind, address). Vectors are fitted to walks from all records in about ``examples`` steps
+    (``fit``: another way to get them); every record is hashed and compared. Names alone must reach ``least_cosine``, which spares the exact check
     of pairs far apart; what passes needs the confidence ``least``.
     """
     spark, key = records.sparkSession, ["loc", "type"]
@@ -347,7 +449,7 @@ def same_institution(records: DataFrame, fit_sample: int = 20_000, aim: float =
     on = stage(full.withColumn("end", F.xxhash64(*key, F.coalesce("num", F.lit("")), "name")), "on")
     ends = on.join(place, ["src", "id"], "left").groupBy("end", *key, "num", "name").agg(F.count("*").alias("written"), F.min("place").alias("place"))
     ends = stage(ends.join(lead, [*key, "num"], "left"), "ends")
-    table = (fit or fit_vectors)(ends, fit_sample)
+    table = (fit or fit_vectors)(ends, examples)
 
     # exact cosines of the candidates
     def cosines(batches):
